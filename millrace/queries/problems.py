@@ -116,9 +116,9 @@ g AS (SELECT soak_id, series, unnest(generate_series(lo, hi, 300)) AS slot FROM
 
 ORACLE = {
     "p1_found": _PERIODS + "SELECT execution_id FROM u WHERE ts > e + INTERVAL 2 HOUR AND ts <= e + INTERVAL 72 HOUR",
-    "p1_period_view": _PERIODS + f""", f AS (SELECT *, to_timestamp(ceil((epoch(e) + 192 * 3600) / 86400) * 86400)::TIMESTAMP AS freeze FROM u WHERE ts <= e + INTERVAL 72 HOUR AND arrived <= TIMESTAMP '{BATCHES[1]}')
-        SELECT model_name, CAST(epoch(e) AS BIGINT) AS period_end_s, count(*) AS executions, CAST(coalesce(sum(rows_copied), 0) AS BIGINT) AS rows_copied, count(*) FILTER (WHERE ts > e + INTERVAL 2 HOUR) AS late_executions, freeze <= TIMESTAMP '{BATCHES[1]}' AS frozen
-        FROM f WHERE model_name IS NOT NULL AND arrived <= freeze AND (freeze > TIMESTAMP '{BATCHES[0]}' OR arrived <= TIMESTAMP '{BATCHES[0]}') GROUP BY model_name, e, freeze""",
+    "p1_period_view": _PERIODS + f""", f AS (SELECT *, to_timestamp(ceil((epoch(e) + 192 * 3600) / 86400) * 86400)::TIMESTAMP AS fz FROM u WHERE ts <= e + INTERVAL 72 HOUR AND arrived <= TIMESTAMP '{BATCHES[1]}')
+        SELECT model_name, CAST(epoch(e) AS BIGINT) AS period_end_s, count(*) AS executions, CAST(coalesce(sum(rows_copied), 0) AS BIGINT) AS rows_copied, count(*) FILTER (WHERE ts > e + INTERVAL 2 HOUR) AS late_executions, fz <= TIMESTAMP '{BATCHES[1]}' AS frozen
+        FROM f WHERE model_name IS NOT NULL AND arrived <= fz AND (fz > TIMESTAMP '{BATCHES[0]}' OR arrived <= TIMESTAMP '{BATCHES[0]}') GROUP BY model_name, e, fz""",
     "p2_found": _GRID + "SELECT g.soak_id, g.series, g.slot AS slot_start FROM g LEFT JOIN o USING (soak_id, series, slot) WHERE o.slot IS NULL",
     "p3_found": """
         WITH w AS (SELECT tenant, arg_max(metadata_watermark, (started_at, execution_id)) AS w FROM (SELECT * FROM models WHERE model_name = 'stg_orders' AND lower(trim(status)) = 'success') GROUP BY tenant),
