@@ -4,7 +4,7 @@ Labelled exemplars of residue (error pages, script notices, filler, unfilled for
 index from term to exemplars. A document's prose (titles, code and tags removed) is cut into overlapping passage windows; a
 window retrieves the exemplars that share terms with it and is scored by TF-IDF containment: the weight of its terms
 that the best exemplar holds, over the weight of all of them. Windows above ``containment`` are covered. A document is residue
-if covered words make up ``coverage`` of what is not page frame, or if a block of its prose holds unfilled
+if covered words make up ``coverage`` of what is neither page frame nor title, or if a block of its prose holds unfilled
 placeholders. Document frequencies are counted over all documents, for the exemplars' terms only, so the table that goes to
 the executors is bounded by the exemplars; every other term weighs as much as the exemplars' mean term.
 
@@ -20,6 +20,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -116,7 +117,10 @@ STRONG = re.compile(
     r"|\[(?:[A-Z][A-Z0-9]+(?:[ _][A-Z0-9]+)*|\s*)\](?!\()|\[(?:insert|enter|your|add|type|fill in)\s[^\]\n]{1,60}\]|<[A-Z][A-Z0-9]*(?:[ _][A-Z0-9]+)*>|<(?:insert|enter|your|add)\s[^<>\n]{1,60}>|(?<![\w{$\"'])\{[a-z][a-z0-9_ ]*\}(?![\w}])"
 )
 WEAK = re.compile(r"\[object Object\]|\bundefined\b|(?<!is )\bnull\b|\bTBD\b|\bXXX+\b|\bNaN\b|\bTODO\b|\.{6,}|(?<=\s)\.{3}(?=[\s.,:;]|$)|\?{3,}|_{4,}")
-_WORD = re.compile(r"[^\W\d]+(?:['’][^\W\d_]+)*", re.U)
+# signs without which there is no placeholder
+_SIGN = re.compile(r"[{<@$%\[]|__")
+_HINT = re.compile(r"[\[.?_]{3}|\[obj|undef|null|TBD|XXX|NaN|TODO")
+_WORD = re.compile(r"(?<!\w)[^\W\d]+(?:['’][^\W\d_]+)*(?!\w)")
 
 
 def prose(text: str) -> tuple[list[list[str]], int]:
@@ -138,11 +142,13 @@ def prose(text: str) -> tuple[list[list[str]], int]:
                 except ValueError:
                     pass
             line = _CHECK.sub(r"\1", line)
-            line, s = STRONG.subn(" ", line)
-            line = _TAG.sub(" ", line)
-            line, w = re.subn(WEAK, lambda m: f" {m.group(0) if m.group(0).isalpha() else ''} ", line)
-            ws = [x.lower().strip("_") for x in _WORD.findall(line)]
-            ws = [x for x in ws if x]
+            s = w = 0
+            if _SIGN.search(line):
+                line, s = STRONG.subn(" ", line)
+                line = _TAG.sub(" ", line)
+            if _HINT.search(line):
+                line, w = WEAK.subn(lambda m: f" {m.group(0) if m.group(0).isalpha() else ''} ", line)
+            ws = ResidueIndex.terms(line)
             strong, weak, size = strong + s, weak + w, size + len(ws) + s
             if ws:
                 lines.append(ws)
@@ -160,6 +166,16 @@ def _values(x: object) -> list[str]:
     return [x] if isinstance(x, str) else []
 
 
+def title_of(marks: list[list[str | None]]) -> int | None:
+    """The line that is the page's title: the first below a page frame, if all that follows it is residue or frame."""
+    framed = [all(m == "frame" for m in mark) for mark in marks]
+    first = next((i for i, f in enumerate(framed) if not f), None)
+    if not first or any(marks[first]):
+        return None
+    rest = [m for mark, f in zip(marks[first + 1 :], framed[first + 1 :]) if not f for m in mark]
+    return first if rest and sum(m is not None for m in rest) >= 0.75 * len(rest) else None
+
+
 @dataclass
 class ResidueIndex:
     """Inverted index of the exemplars with the weights of their terms."""
@@ -176,7 +192,8 @@ class ResidueIndex:
 
     @staticmethod
     def terms(t: str) -> list[str]:
-        return [x for x in (w.lower().strip("_") for w in _WORD.findall(t)) if x]
+        ws = _WORD.findall(t.lower())
+        return [x for x in (w.strip("_") for w in ws) if x] if "_" in t else ws
 
     def weigh(self, df: dict[str, int], n: int) -> None:
         self.weight = {w: math.log((n + 1) / (df.get(w, 0) + 0.5)) + 0.1 for w in self.post}
@@ -184,20 +201,38 @@ class ResidueIndex:
 
     def score(self, window: list[str]) -> tuple[str | None, float]:
         """(label, containment) of the exemplar that holds most of the window's weight."""
-        total, hit = 0.0, Counter()
-        for w, k in Counter(window).items():
+        total, hit = 0.0, defaultdict(float)
+        for w in window:
             x = self.weight.get(w)
             if x is None:
-                total += self.other * k
+                total += self.other
                 continue
-            total += x * k
+            total += x
             for e in self.post[w]:
-                hit[e] += x * k
+                hit[e] += x
         if not hit:
             return None, 0.0
         e, x = max(hit.items(), key=lambda p: (p[1], -p[0]))
         return self.labels[e], x / total
 
+    def marks(self, words: list[str], size: int, least: float) -> list[str | None]:
+        """The label of each word of a line: that of a window around it with enough containment, else None."""
+        mark: list[str | None] = [None] * len(words)
+        got = [self.weight.get(w) for w in words]
+        if not any(got):
+            return mark
+        whole = [0.0, *accumulate(self.other if x is None else x for x in got)]
+        known = [0.0, *accumulate(x or 0.0 for x in got)]
+        step = max(1, size // 2)
+        for s in range(0, max(1, len(words) - step), step):
+            e = min(s + size, len(words))
+            # no exemplar can hold more than all known terms: most windows end here
+            if known[e] - known[s] >= least * (whole[e] - whole[s]):
+                label, c = self.score(words[s:e])
+                if c >= least:
+                    mark[s:e] = [label] * (e - s)
+        return mark
+
 
 @dataclass(frozen=True)
 class ResidueFilter:
@@ -237,20 +272,12 @@ class ResidueFilter:
                 out = []
                 for doc, text in zip(b["doc_id"], b["text"]):
                     lines, unfilled = prose(text)
-                    content = covered = 0
-                    labels: Counter = Counter()
-                    for ws in lines:
-                        mark = [None] * len(ws)
-                        step = max(1, size // 2)
-                        for s in range(0, max(1, len(ws) - step), step):
-                            win = ws[s : s + size]
-                            label, c = index.score(win)
-                            if c >= least:
-                                mark[s : s + size] = [label] * len(win)
-                        content += sum(m != "frame" for m in mark)
-                        hit = [m for m in mark if m and m != "frame"]
-                        covered += len(hit)
-                        labels.update(hit)
+                    marks = [index.marks(ws, size, least) for ws in lines]
+                    if (t := title_of(marks)) is not None:
+                        del marks[t]
+                    flat = [m for mark in marks for m in mark if m != "frame"]
+                    labels = Counter(m for m in flat if m)
+                    content, covered = len(flat), labels.total()
                     share = covered / content if content else 0.0
                     label = "placeholder" if unfilled else labels.most_common(1)[0][0] if labels else None
                     out.append((doc, label, share, unfilled, bool(unfilled) or (covered > 0 and share >= cover)))
