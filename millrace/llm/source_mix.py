@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranks import positions
@@ -123,9 +123,9 @@ class SourceMix:
         there = sized.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("tokens_there"))
         b = t.join(there, "source", "left").fillna(0, ["documents", "tokens_there"])
         usable = F.when(F.col("tokens_there") > 0, F.col("target_share"))
-        whole = b.agg(F.sum(usable).alias("usable"), F.min(F.when(F.col("tokens_there") > 0, F.col("tokens_there") * F.col("max_repeats") / F.col("target_share"))).alias("least"))
-        # one row, broadcast: shares are given over the sources that have documents
-        b = b.crossJoin(F.broadcast(whole))
+        # one row per target, so a window over all of them stays as small as the list of targets
+        every = Window.partitionBy(F.lit(1))
+        b = b.withColumn("usable", F.sum(usable).over(every)).withColumn("least", F.min(F.when(F.col("tokens_there") > 0, F.col("tokens_there") * F.col("max_repeats") / F.col("target_share"))).over(every))
         share = F.coalesce(usable / F.col("usable"), F.lit(0.0))
         total = F.floor(F.col("least") * F.col("usable") + 1e-6)
         if self.total is not None:
@@ -154,6 +154,6 @@ class SourceMix:
         sel = sel.select("doc_id", "source", "tokens", (F.col("passes") + (F.col("pos") < F.col("extra")).cast("int")).alias("repeats")).filter("repeats > 0")
         taken = plan.groupBy("source").agg(F.sum(F.col("tokens") * (F.col("passes") * F.col("n") + F.col("extra"))).alias("tokens_taken"))
         shares = budgets.join(taken, "source", "left").fillna(0, ["tokens_taken"])
-        whole = shares.agg(F.sum("tokens_taken").alias("all_taken"))
-        shares = shares.crossJoin(F.broadcast(whole)).withColumn("actual_share", F.when(F.col("all_taken") > 0, F.col("tokens_taken") / F.col("all_taken")).otherwise(0.0)).drop("all_taken")
+        whole = F.sum("tokens_taken").over(Window.partitionBy(F.lit(1)))
+        shares = shares.withColumn("all_taken", whole).withColumn("actual_share", F.when(F.col("all_taken") > 0, F.col("tokens_taken") / F.col("all_taken")).otherwise(0.0)).drop("all_taken")
         return sel, shares
