@@ -6,8 +6,8 @@ uncertainty, merged per (group, day) and then per group. Merging keeps intervals
 between neighbours; the bound on the rank error of any answer is read from the tuples themselves (half the widest
 distance), so what accumulates over merges is known and stated, not assumed.
 
-Hot groups are spread over ``shards`` by a hash of the record, so no task holds a group, and a merge sees at most
-shards x (1 / eps + 2) tuples. Streams of Arrow batches are cut anywhere; a group that goes on in the next batch is carried.
+Hot groups are spread over ``shards`` by a hash of the record, so no task holds a group, and a merge holds at most 16
+summaries a level of at most 1 / (2 eps) + 2 tuples each. Streams of Arrow batches are cut anywhere; a group that goes on in the next batch is carried.
 
 Defined results: NULL and negative values are left out (``least``), as are NULL groups and ids; a record delivered
 several times counts once (its least row); a NULL time is a day of its own; ties have an interval of ranks each and
@@ -30,11 +30,15 @@ ARROW = pa.schema([("grp", pa.string()), ("day", pa.date32()), ("n", pa.int64())
 
 
 def compress(s: Summary, eps: float) -> Summary:
-    """Drops tuples as long as neighbours stay within the permitted uncertainty of 2 eps n ranks."""
+    """Drops tuples so that the distance of neighbours grows by at most 2 eps n ranks.
+
+    Every tuple kept lies more than 2 eps n ranks beyond the one before, so at most 1 / (2 eps) + 2 stay, and the rank
+    error grows by at most eps n: levels of merging add up, and :func:`bound` reads the sum from the tuples.
+    """
     v, lo, hi, n = s
-    room = int(2 * eps * n)
-    if len(v) <= 2 or room < 2:
+    if len(v) <= 2 or int(2 * eps * n) < 2:
         return s
+    room = int((hi[1:] - lo[:-1]).max()) + int(2 * eps * n)
     keep, last, i = [0], 0, 1
     while i < len(v):
         # the furthest tuple that is still within reach of the last one kept
@@ -46,17 +50,40 @@ def compress(s: Summary, eps: float) -> Summary:
     return v[k], lo[k], hi[k], n
 
 
+class Tree:
+    """Summaries of one group, merged level by level: a level's ``fan_in`` summaries make one of the next.
+
+    What is held grows with the logarithm of what came in, and so does the rank error.
+    """
+
+    def __init__(self, eps: float, fan_in: int = 16):
+        self.eps, self.fan_in, self.levels = eps, fan_in, [[]]
+
+    def add(self, s: Summary, level: int = 0) -> None:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(s)
+        if len(self.levels[level]) == self.fan_in:
+            whole, self.levels[level] = merge(self.levels[level], self.eps), []
+            self.add(whole, level + 1)
+
+    def result(self) -> Summary:
+        parts = [s for level in self.levels for s in level]
+        return parts[0] if len(parts) == 1 else merge(parts, self.eps)
+
+
 def build(x: np.ndarray, eps: float) -> Summary:
     """Summary of sorted values: exact ranks, then compressed."""
-    r = np.arange(1, len(x) + 1)
-    return compress((x, r, r, len(x)), eps)
+    n, step = len(x), int(2 * eps * len(x))
+    r = np.arange(1, n + 1) if step < 2 else np.unique(np.r_[1 : n + 1 : step, n])
+    return x[r - 1], r, r, n
 
 
 def merge(parts: list[Summary], eps: float) -> Summary:
     """Merges summaries; of equal values the earlier part's come first."""
     parts = [p for p in parts if p[3]]
     if len(parts) == 1:
-        return compress(parts[0], eps)
+        return parts[0]
     v = np.concatenate([p[0] for p in parts])
     own = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
     lo, hi = np.concatenate([p[1] for p in parts]).astype(np.int64), np.concatenate([p[2] for p in parts]).astype(np.int64)
@@ -96,24 +123,24 @@ def _lists(rows: list[tuple], arrow: pa.Schema = ARROW) -> pa.RecordBatch:
 
 def _build_stream(eps: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # key and summary of the group that may go on
+        key, tree = None, Tree(eps)
+        done = lambda: (key[1], key[2], (m := tree.result())[3], *m[:3])
         for b in batches:
             out = []
             g, d, x = b.column("grp").to_pylist(), b.column("day").to_pylist(), b.column("x").to_numpy()
             code = b.column("code").to_numpy()  # changes with (group, day, shard)
             cut = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else []
             for i, j in zip(cut, np.r_[cut[1:], len(code)].astype(int) if len(cut) else []):
-                key, s = (code[i], g[i], d[i]), build(np.sort(x[i:j]), eps)
-                if held and held[0] == key:
-                    held = (key, merge([held[1], s], eps))
-                else:
-                    if held:
-                        out.append((held[0][1], held[0][2], held[1][3], *held[1][:3]))
-                    held = (key, s)
+                k = (code[i], g[i], d[i])
+                if k != key:
+                    if key is not None:
+                        out.append(done())
+                    key, tree = k, Tree(eps)
+                tree.add(build(np.sort(x[i:j]), eps))
             if out:
                 yield _lists(out)
-        if held:
-            yield _lists([(held[0][1], held[0][2], held[1][3], *held[1][:3])])
+        if key is not None:
+            yield _lists([done()])
 
     return work
 
@@ -126,25 +153,23 @@ def _unpack(b: pa.RecordBatch) -> list[Summary]:
     return [(v[offs[i] : offs[i + 1]], lo[offs[i] : offs[i + 1]], hi[offs[i] : offs[i + 1]], n[i]) for i in range(len(n))]
 
 
-def _merge_stream(eps: float, by_day: bool, fan_in: int = 64) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _merge_stream(eps: float, by_day: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, parts = None, []
-        done = lambda: (key[0], key[1], (m := merge(parts, eps))[3], *m[:3])
+        key, tree = None, Tree(eps)
+        done = lambda: (key[0], key[1], (m := tree.result())[3], *m[:3])
         for b in batches:
             out = []
             g, d = b.column("grp").to_pylist(), b.column("day").to_pylist()
             for i, s in enumerate(_unpack(b)):
                 k = (g[i], d[i] if by_day else None)
-                if parts and k != key:
-                    out.append(done())
-                    parts = []
-                key = k
-                parts.append(s)
-                if len(parts) >= fan_in:  # a tree: what is held stays bounded
-                    parts = [merge(parts, eps)]
+                if k != key:
+                    if key is not None:
+                        out.append(done())
+                    key, tree = k, Tree(eps)
+                tree.add(s)
             if out:
                 yield _lists(out)
-        if parts:
+        if key is not None:
             yield _lists([done()])
 
     return work
@@ -152,14 +177,18 @@ def _merge_stream(eps: float, by_day: bool, fan_in: int = 64) -> Callable[[Itera
 
 @dataclass(frozen=True)
 class RankSummaries:
-    """``eps`` is the permitted rank error as a share of n at each of the three levels (shard, day, group)."""
+    """``eps`` is the rank error, as a share of n, that each level may add (building, then each level of merging).
+
+    Levels: one for building, up to one for each power of 16 in the number of Arrow batches of a shard, of shards of a day,
+    and of days of a group. ``rank_error_bound`` is what has really accumulated.
+    """
 
     id: str = "execution_id"
     group: str = "model_name"
     value: str = "duration_ms"
     time: str = "started_at"
     least: float = 0.0
-    eps: float = 0.001
+    eps: float = 0.0005
     shards: int | None = None
 
     def _values(self, df: DataFrame) -> DataFrame:

@@ -254,7 +254,7 @@ class ResidueFilter:
                 for t in b["text"]:
                     c[""] += 1
                     c.update(terms.intersection(ResidueIndex.terms(t)))
-            yield pd.DataFrame({"term": list(c), "n": list(c.values())})
+            yield pd.DataFrame(list(c.items()), columns=["term", "n"], dtype=object)
 
         rows = docs.select("text").filter("text is not null").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
         df = {r.term: r.n for r in rows}
@@ -281,7 +281,7 @@ class ResidueFilter:
                     share = covered / content if content else 0.0
                     label = "placeholder" if unfilled else labels.most_common(1)[0][0] if labels else None
                     out.append((doc, label, share, unfilled, bool(unfilled) or (covered > 0 and share >= cover)))
-                yield pd.DataFrame(out, columns=["doc_id", "label", "coverage", "placeholders", "residue"])
+                yield pd.DataFrame(out, columns=["doc_id", "label", "coverage", "placeholders", "residue"], dtype=object)
 
         return d.mapInPandas(work, "doc_id long, label string, coverage double, placeholders int, residue boolean")
 
