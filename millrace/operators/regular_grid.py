@@ -112,7 +112,8 @@ class RegularGrid:
                     gaps = np.isnan(x)
                     # without a gap of its own the block needs no filling
                     y, n = ssa_fill(x, win, rank, rounds) if gaps[own].any() else (x, 0)
-                    yield pd.DataFrame({"source": r.source, "series": r.series, "slot": np.arange(a, z + 1, step), "value": y[own], "missing": gaps[own], "rounds": n})
+                    names = np.full(len(gaps[own]), r.source, dtype=object), np.full(len(gaps[own]), r.series, dtype=object)
+                    yield pd.DataFrame({"source": names[0], "series": names[1], "slot": np.arange(a, z + 1, step), "value": y[own], "missing": gaps[own], "rounds": n})
 
         spread = self.blocks(slots).repartition("source", "series", "block")
         return spread.mapInPandas(work, "source string, series string, slot long, value double, missing boolean, rounds int").withColumn("value", F.when(~F.isnan("value"), F.col("value")))

@@ -181,7 +181,7 @@ class Spikes:
                         lo, hi = usual_band(*[np.array(z) for z in zip(*bs)], share, edge, per_octave)
                     n, rest, same = runs["n"], runs["slo"], runs["shi"]
                     out.append((r.source, r.reading, lo, hi, bool(n >= run and rest >= 0.5 * n and same <= repeats * rest)))
-                yield pd.DataFrame(out, columns=["source", "reading", "usual_lo", "usual_hi", "rarely_repeats"])
+                yield pd.DataFrame(out, columns=["source", "reading", "usual_lo", "usual_hi", "rarely_repeats"], dtype=object)
 
         return per.mapInPandas(work, "source string, reading string, usual_lo double, usual_hi double, rarely_repeats boolean")
 
