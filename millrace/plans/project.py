@@ -77,7 +77,7 @@ class Project:
         out = {}
         for n, m in self.models.items():
             words = set(re.findall(r"[A-Za-z_]\w*", sqlcompat._MASK.sub("", m.text or "")))
-            out[n] = ({x for x in self.models if x in words} | set(m.needs)) - {n}
+            out[n] = ((words & self.models.keys()) | set(m.needs)) - {n}
         return out
 
     def frame(self, spark: SparkSession, name: str, table: Callable[[str], DataFrame], values: dict[str, str] | None = None) -> DataFrame:
@@ -245,12 +245,21 @@ def lineage(df: DataFrame) -> dict[str, set[tuple[str, str]]]:
 def consumed_columns(df: DataFrame) -> set[str]:
     """Columns that the optimised plan still reads from its leaves."""
     plan = df._jdf.queryExecution().optimizedPlan()
-    leaves = plan.collectLeaves()
-    out = set()
-    for i in range(leaves.size()):
-        o = leaves.apply(i).output()
-        out |= {o.apply(k).name() for k in range(o.size())}
-    return out
+    seq = lambda s: [s.apply(i) for i in range(s.size())]
+    used = {a.exprId().id() for a in seq(plan.output())}
+    leaves: dict[int, str] = {}
+
+    def visit(p) -> None:
+        kids = seq(p.children())
+        if not kids:
+            leaves.update({a.exprId().id(): a.name() for a in seq(p.output())})
+        else:
+            used.update(a.exprId().id() for a in seq(p.references().toSeq()))
+        for c in kids:
+            visit(c)
+
+    visit(plan)
+    return {n for i, n in leaves.items() if i in used}
 
 
 def propagate(changed: dict[str, set[str]], reads: dict[str, dict[str, set[str]]]) -> set[str]:
