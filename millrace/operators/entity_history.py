@@ -90,8 +90,17 @@ class EntityHistory:
         return rows.filter(~F.col("gone")).select("e", *self.attributes, F.col("at").alias("valid_from"), F.coalesce("next", "after").alias("valid_to"))
 
     def as_of(self, checkpoints: DataFrame, patches: DataFrame, moment: int) -> DataFrame:
-        """State of every entity at a moment (microseconds): the last segment up to it, folded up to the moment."""
-        # an entity's checkpoint rows mark the segments it has deliveries in, its first segment has none
-        rows = self.fold(checkpoints, patches).filter(F.col("at") <= moment)
-        held = rows.groupBy("e").agg(F.max_by(F.struct("gone", *self.attributes), "at").alias("s"))
-        return held.filter(~F.col("s.gone")).select("e", *[F.col(f"s.{a}").alias(a) for a in self.attributes])
+        """State of every entity at a moment (microseconds): the last segment with a patch up to it, folded up to it.
+
+        Segments before the nearest checkpoint are not read into the fold, which is an aggregation that combines before
+        the shuffle: per attribute the last value that was set.
+        """
+        upto = patches.filter(F.col("at") <= moment)
+        last = upto.groupBy("e").agg(F.max("seg").alias("seg"))
+        start = checkpoints.select(
+            "e", "seg", F.lit(-(2**62)).alias("at"), "gone", F.lit(True).alias("there"),
+            F.struct(*[F.lit(True).alias(a) for a in self.attributes]).alias("ch"), F.struct(*[F.col(f"v.{a}").alias(a) for a in self.attributes]).alias("v"),
+        )
+        rows = start.unionByName(upto).join(last, ["e", "seg"])
+        held = [F.max_by(F.struct(F.col(f"v.{a}").alias("x")), F.when(F.col(f"ch.{a}"), F.col("at"))).getField("x").alias(a) for a in self.attributes]
+        return rows.groupBy("e").agg(F.max_by("gone", "at").alias("gone"), *held).filter(~F.col("gone")).select("e", *self.attributes)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +34,23 @@ def get_session(app: str = "millrace", cores: int | str = "*", shuffle_partition
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the executors' Python, once per context: they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_millrace_shipped", False):
+        return
+    sc._millrace_shipped = True
+    root = Path(__file__).resolve().parent
+    # the driver's copy; Spark's file server takes it from there
+    path = Path(tempfile.mkdtemp(prefix="millrace-")) / "millrace.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root).as_posix()}")
+    sc.addPyFile(str(path))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

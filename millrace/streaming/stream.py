@@ -43,3 +43,22 @@ def sessions(df: DataFrame, ts: str, gap: str, keys: list[str], aggs: list[Colum
         df = df.withWatermark(ts, late)
     g = df.groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(*aggs)
     return g.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *[c for c in g.columns if c != "w"])
+
+
+def period_increments(spark: SparkSession, path: str, schema, periods, out: str, checkpoint: str, glob: str | None = None) -> DataFrame:
+    """The fast layer of lambda views as a stream: increments of provisional periods from each micro-batch of arrivals.
+
+    A micro-batch writes its increments to a folder of its own number, so one that is repeated after a failure
+    replaces what it had written. ``periods`` is a :class:`~millrace.operators.lambda_periods.LambdaPeriods`.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        periods.fast(batch, -(2**40), 2**40).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    r = spark.readStream.schema(schema)
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    q = r.parquet(path).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    inc = spark.read.parquet(out)
+    return inc.groupBy("key", "period_end").agg(F.min("period_start").alias("period_start"), *[F.sum(c).alias(c) for c in ("executions", "rows_copied", "late_executions")])

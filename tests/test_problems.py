@@ -75,6 +75,16 @@ class TestLambdaPeriods:
         assert (r["executions"], r["rows_copied"], r["late_executions"], r["frozen"]) == (2, 15, 1, True)
         assert [x["id"] for x in p.ledger(df).filter("frozen_out").collect()] == [3]
 
+    def test_streamed_fast_layer(self, spark, tmp_path):
+        from millrace.streaming.stream import period_increments
+
+        src, p = str(tmp_path / "log"), LambdaPeriods()
+        spark.createDataFrame(self.ROWS[:4], MODELS).coalesce(1).write.parquet(src)
+        run = lambda: {r["period_end"]: r["executions"] for r in period_increments(spark, src, MODELS, p, str(tmp_path / "inc"), str(tmp_path / "cp")).collect()}
+        assert run() == {1704070800: 2} == run()
+        spark.createDataFrame([model(50, T0 + h(1), key="2024-01-01T00")], MODELS).coalesce(1).write.mode("append").parquet(src)
+        assert run() == {1704070800: 3}
+
     def test_empty(self, spark):
         df = spark.createDataFrame([], MODELS)
         assert LambdaPeriods().corrections(df).count() == 0
