@@ -4,7 +4,8 @@ Storage has two tables. **Patches** hold, for every delivery that changed someth
 changed. **Checkpoints** hold the full version of an entity at the beginning of each segment (a fixed span of time) in
 which it has patches. Validity rows, or the state at a moment, come from folding patches forward from the nearest
 checkpoint, so reading a moment touches one segment, and no entity is ever sorted as a whole: windows run within
-(entity, segment), and only one row per segment goes through a window per entity.
+(entity, segment), and only one row per segment goes through a window per entity. ``segment_s`` is how finely a hot entity
+is cut: six hours make more than a hundred pieces of four weeks.
 
 Defined results: deliveries without an entity or a stamp are left out; of several deliveries of an entity with one
 stamp that with the greatest ``order`` counts, ties there by the greatest state; text attributes compare without case and
@@ -30,7 +31,7 @@ class EntityHistory:
     deleted: str | None = "_fivetran_deleted"
     attributes: tuple[str, ...] = ("tier",)
     normalize: bool = True
-    segment_s: int = 7 * 86400
+    segment_s: int = 6 * 3600
 
     def _deliveries(self, df: DataFrame) -> DataFrame:
         """One row per entity and stamp: (e, at, seg, gone, attributes)."""

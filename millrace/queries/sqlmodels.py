@@ -103,8 +103,8 @@ C.sql("fn_date_arith", "SELECT o_orderkey, CAST(date_trunc('MONTH', o_orderdate)
       "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS a, CAST(CAST(o_orderdate AS DATE) + 10 AS DATE) AS b, CAST(CAST(o_orderdate AS DATE) - 10 AS DATE) AS c, date_diff('day', CAST(o_orderdate AS DATE), DATE '2000-01-01') AS d, CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH AS DATE) AS e, last_day(CAST(o_orderdate AS DATE)) AS f FROM orders")
 C.sql("fn_cast", "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS a, CAST(l_linenumber AS STRING) AS b, CAST(l_extendedprice AS DECIMAL(18,1)) AS c, CAST(l_shipdate AS DATE) AS d, CAST(l_linenumber AS BOOLEAN) AS e FROM lineitem",
       "SELECT l_orderkey, l_linenumber, CAST(trunc(l_quantity) AS BIGINT) AS a, CAST(l_linenumber AS VARCHAR) AS b, CAST(round(CAST(l_extendedprice AS DECIMAL(18,2)), 1) AS DECIMAL(18,1)) AS c, CAST(l_shipdate AS DATE) AS d, CAST(l_linenumber AS BOOLEAN) AS e FROM lineitem")
-C.sql("fn_try_cast", "SELECT execution_id, partition_key, SAFE_CAST(partition_key AS BIGINT) AS a, TRY_CAST(partition_key AS DATE) IS NULL AS b FROM (SELECT DISTINCT execution_id, partition_key FROM models WHERE length(partition_key) = 10 AND (partition_key LIKE '____-__-__' OR partition_key NOT LIKE '%-%') AND partition_key NOT LIKE '%/%')",
-      "SELECT execution_id, partition_key, TRY_CAST(partition_key AS BIGINT) AS a, TRY_CAST(partition_key AS DATE) IS NULL AS b FROM (SELECT DISTINCT execution_id, partition_key FROM models WHERE length(partition_key) = 10 AND (partition_key LIKE '____-__-__' OR partition_key NOT LIKE '%-%') AND partition_key NOT LIKE '%/%')")
+C.sql("fn_try_cast", "SELECT DISTINCT execution_id, partition_key, SAFE_CAST(partition_key AS BIGINT) AS a, TRY_CAST(partition_key AS DOUBLE) AS b FROM models",
+      "SELECT DISTINCT execution_id, partition_key, TRY_CAST(partition_key AS BIGINT) AS a, TRY_CAST(partition_key AS DOUBLE) AS b FROM models")
 C.sql("fn_json_extract", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 C.sql("fn_array_ops", "SELECT vec_id, CAST(size(embedding) AS BIGINT) AS n, element_at(embedding, 1) AS a, array_contains(array(1, 2, 3), label) AS b, round(CAST(array_max(embedding) AS DOUBLE), 5) AS c, CAST(array_position(array(3, 1, 2), label) AS BIGINT) AS d FROM embeddings",
       "SELECT vec_id, len(embedding) AS n, embedding[1] AS a, list_contains([1, 2, 3], label) AS b, round(CAST(list_max(embedding) AS DOUBLE), 5) AS c, CAST(coalesce(list_position([3, 1, 2], label), 0) AS BIGINT) AS d FROM embeddings")
