@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import materialize, table
 from .leaks import LeakScan
@@ -27,12 +28,13 @@ def p4_rank_check(spark: SparkSession, d: str) -> DataFrame:
     return r.rank_check(models, answers).withColumnRenamed("grp", "model_name")
 
 
-def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return LeakScan().found(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_leaks(spark, d).select("doc_id", "item_id")
+def p7_leaked_items(spark: SparkSession, d: str) -> DataFrame:
+    """Which test items leaked, and into how many documents."""
+    return p7_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
 
 
 def p8_selection(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +53,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return ResidueFilter().found(table(spark, d, "documents")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p4_percentiles, p4_daily_percentiles, p4_rank_check, p7_found, p7_leaks, p8_selection, p8_shares, p9_found, p9_scores)}
+QUERIES = {f.__name__: f for f in (p4_percentiles, p4_daily_percentiles, p4_rank_check, p7_found, p7_leaked_items, p8_selection, p8_shares, p9_found, p9_scores)}
 
 ORACLE = {
     "p4_rank_check": """

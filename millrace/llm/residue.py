@@ -1,12 +1,21 @@
 """Template residue and error-page text.
 
-Labelled exemplars of residue (error pages, script notices, filler, unfilled forms) and of page frames stand in an inverted
-index from term to exemplars. A document's prose (titles, code and tags removed) is cut into overlapping passage windows; a
-window retrieves the exemplars that share terms with it and is scored by TF-IDF containment: the weight of its terms
-that the best exemplar holds, over the weight of all of them. Windows above ``containment`` are covered. A document is residue
-if covered words make up ``coverage`` of what is neither page frame nor title, or if a block of its prose holds unfilled
-placeholders. Document frequencies are counted over all documents, for the exemplars' terms only, so the table that goes to
-the executors is bounded by the exemplars; every other term weighs as much as the exemplars' mean term.
+Labelled exemplars of residue (error pages, script notices, filler, unfilled forms, unfilled marks) and of page frames stand
+in an inverted index from term to exemplars. A document's prose is cut into passage windows; a window retrieves the
+exemplars that share terms with it and is scored by TF-IDF containment: the weight of its terms that the best exemplars of one
+label hold, over the weight of all of them. A window is covered above its label's threshold.
+
+* A document is residue if covered words make up ``coverage`` of what is neither page frame nor title. A title is a heading, or a
+  line of up to ``title`` terms that stands alone before everything else, if all that follows it is residue.
+* Placeholders are terms as well: whatever only a template engine or its user should have replaced becomes one of four marks
+  (``MARKS``), which exemplars labelled ``unfilled`` hold. A window above ``unfilled`` is a passage left unfilled. The rest of
+  such a window is the template's own text, hence a threshold of its own; one mark in a window of ordinary prose stays below.
+
+Terms are words cut to ``stem`` letters; words with digits or underscores are names and no terms. Titles, code, tags and
+marks in quotation marks are removed before. Texts are read once: what is written is an array of small numbers per document (the
+exemplars' terms by number, other words, line ends), which is read twice, for document frequencies (counted by Spark over all
+documents; as many rows as the exemplars have terms come back to the driver at most) and for the windows. Every other term weighs
+as much as the exemplars' mean term.
 
 Defined results: NULL, empty and frame-only texts are no residue; placeholders within code don't count; repeated rows give one
 row per document; very long texts are read whole; an empty table gives no rows; other columns are ignored.
@@ -14,276 +23,291 @@ row per document; very long texts are read whole; an empty table gives no rows;
 
 from __future__ import annotations
 
-import json
 import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import accumulate
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Labelled exemplars, fixed values.
-EXEMPLARS: list[tuple[str, str]] = [
-    *[("error", t) for t in (
-        "The page you asked for does not exist. It may have been moved or its name was mistyped.",
-        "404 not found. The requested URL was not found on this server.",
-        "Page not found. Nothing here. We could not find what you were looking for.",
-        "This document is no longer available. This page has been removed.",
-        "Error 502: bad gateway. The upstream server did not answer in time. Request",
-        "504 gateway timeout. The server took too long to respond.",
-        "503 Service unavailable. We are doing maintenance and will be back soon.",
-        "The service is temporarily unavailable. Please try again later.",
-        "Oops! Something went wrong on our side. Try again in minutes.",
-        "An unexpected error occurred. Please contact support.",
-        "500 internal server error. Internal error while rendering this page: NoneType has no attribute title",
-        "Too many requests from your address. Slow down and retry after seconds. Rate limit exceeded.",
-        "Access to this resource is forbidden (403). If you think this is wrong, write to your workspace owner and quote",
-        "Access denied. You do not have permission to view this page. You need permission to open. Ask its owner for access.",
-        "Your session has ended. Log in again to see this document.",
-        "Your session has expired. Please sign in again to continue. You must be logged in to view this page.",
-        "The connection was reset before the answer was complete. Code: ERR",
-        "Checking your browser before opening the page... this takes up to seconds. Verify that you are human.",
-        "Seite nicht gefunden. Die Adresse ist falsch oder veraltet.",
-        "Fehler 503: Der Dienst antwortet gerade nicht, bitte später erneut versuchen.",
-        "Ihre Sitzung ist abgelaufen. Bitte neu anmelden.",
-        "Zugriff verweigert. Sie haben keine Berechtigung, diese Seite zu sehen.",
-        "Page introuvable. L'adresse est erronée ou la page a été déplacée.",
-        "Erreur 503 : service momentanément indisponible, réessayez plus tard.",
-        "Votre session a expiré, veuillez vous reconnecter.",
-        "Accès refusé. Vous n'avez pas l'autorisation d'afficher cette page.",
-        "Página no encontrada. La dirección es incorrecta o ya no existe.",
-        "Error 503: el servicio no responde, inténtelo más tarde.",
-        "Su sesión ha caducado. Inicie sesión de nuevo.",
-        "Acceso denegado. No tiene permiso para ver esta página.",
-    )],
-    *[("script", t) for t in (
-        "You need to enable JavaScript to run this app.",
-        "JavaScript is switched off in your browser. Turn it on and reload to read this page.",
-        "Sorry, the viewer does not work without JavaScript enabled. The lineage viewer.",
-        "This viewer requires scripts. Please allow them for this site and refresh.",
-        "Please turn off your content blocker and allow cookies, then reload.",
-        "Please turn off your ad blocker and enable cookies to continue.",
-        "Loading... If nothing happens, scripting may be disabled.",
-        "This site requires JavaScript. Please enable JavaScript in your browser settings and reload the page.",
-        "Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.",
-        "Diese Anwendung läuft nur mit eingeschalteten Skripten.",
-        "Veuillez activer JavaScript pour afficher cette page.",
-        "Cette application a besoin de scripts pour fonctionner.",
-        "Active JavaScript para ver esta página.",
-        "Esta aplicación necesita scripts para funcionar. Habilite JavaScript en su navegador.",
-    )],
-    *[("filler", t) for t in (
-        "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua",
-        "Ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat",
-        "Duis aute irure dolor in reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum",
-        "lorem ipsum elium nonpro alique sedo cillum excepta deser ament eiusta nisum magnis sinto talum ullam cupid culpa fugat volup sidet nullam incidi animus vorem irure duisa lectis enima nostrum exerci tempra laboret autem mollit quiso consul veniat adipit",
-        "Section Heading Item Title Text goes here. Some text. Example content. Lorem ipsum. Sample text. Placeholder text.",
-        "Your headline here. Your text here. Your title here. Insert text here. Add your content here.",
-        "Replace this paragraph by a few sentences about your project. Add another paragraph if you need more room.",
-        "Coming soon. Under construction. This page is intentionally left blank. To be completed. To be determined.",
-    )],
-    *[("form", t) for t in (
-        "describe your change link the issue unit manual integration tests pull request",
-        "tell us what should happen tell us what happens instead for example version steps to reproduce",
-        "No response. Not applicable. Provide logs here. Add screenshots here.",
-        "TODO: write an introduction. TODO TBD to do tbd fill in later",
-        "Short description goes here. name type meaning column type text",
-        "Décrire ici le contenu. À compléter. nom titre du modèle",
-        "Hier Beschreibung einfügen. Hier Spalten eintragen. Name Titel",
-        "Describa aquí el contenido. Por completar. nombre título del modelo",
-    )],
-    *[("frame", t) for t in (
-        "Start Docs Models Menu Search Help Back to top Home Pricing Sign in Sign out",
-        "Overview Models Runs Settings All rights reserved. Imprint Privacy Contact Terms Cookies",
-        "Status: all systems normal Last built Last updated Powered by",
-        "Dark theme Light theme Language Next Previous Search Skip to content Print Docs Reference Toggle navigation On this page Release notes Edit this page Share Guides Community Ctrl K",
-    )],
-]
-
-_FENCE = re.compile(r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)")
-_INLINE = re.compile(r"`[^`\n]*`")
-_TITLE = re.compile(r"(?is)<title\b[^>]*>.*?</title>|<(script|style)\b.*?</\1>")
-_COMMENT = re.compile(r"(?s)<!--(.*?)-->")
-_TAG = re.compile(r"</?[a-z][a-z0-9]*(?:\s+[a-z-]+=(?:\"[^\"]*\"|'[^']*'))*\s*/?>")
-_HEAD = re.compile(r"^\s*#{1,6}\s|^\s*Review of \S+, round \d+\s*$|^\s*[=-]{3,}\s*$")
-_CHECK = re.compile(r"^(\s*[-*+]\s+)\[[ xX]\]\s+")
-STRONG = re.compile(
-    r"\{\{[^{}\n]{0,80}\}\}|<%=?[^%\n]{0,80}%>|\$\{[^{}\n]{0,80}\}|@@\w+@@|(?<!\w)__[A-Za-z]\w*?__(?!\w)|%[A-Z][A-Z0-9_]+%|\$[A-Z][A-Z0-9_]+\$|%\(\w+\)s"
-    r"|\[(?:[A-Z][A-Z0-9]+(?:[ _][A-Z0-9]+)*|\s*)\](?!\()|\[(?:insert|enter|your|add|type|fill in)\s[^\]\n]{1,60}\]|<[A-Z][A-Z0-9]*(?:[ _][A-Z0-9]+)*>|<(?:insert|enter|your|add)\s[^<>\n]{1,60}>|(?<![\w{$\"'])\{[a-z][a-z0-9_ ]*\}(?![\w}])"
-)
-WEAK = re.compile(r"\[object Object\]|\bundefined\b|(?<!is )\bnull\b|\bTBD\b|\bXXX+\b|\bNaN\b|\bTODO\b|\.{6,}|(?<=\s)\.{3}(?=[\s.,:;]|$)|\?{3,}|_{4,}")
-# signs without which there is no placeholder
-_SIGN = re.compile(r"[{<@$%\[]|__")
-_HINT = re.compile(r"[\[.?_]{3}|\[obj|undef|null|TBD|XXX|NaN|TODO")
-_WORD = re.compile(r"(?<!\w)[^\W\d]+(?:['’][^\W\d_]+)*(?!\w)")
-
-
-def prose(text: str) -> tuple[list[list[str]], int]:
-    """(word lists of the lines of prose, most telling count of unfilled placeholders in a block).
-
-    The second is 0 (none), or the number of placeholders of the worst block that reads as unfilled.
-    """
-    t = _INLINE.sub(" ", _FENCE.sub("\n", text))
-    t = _COMMENT.sub(r" \1 ", _TITLE.sub(" ", t))
-    lines, unfilled = [], 0
-    for block in re.split(r"\n\s*\n", t):
-        strong = weak = size = 0
-        for line in block.split("\n"):
-            if not line.strip() or _HEAD.match(line):
-                continue
-            if line.lstrip().startswith("{"):
-                try:
-                    line = " ".join(_values(json.loads(line)))
-                except ValueError:
-                    pass
-            line = _CHECK.sub(r"\1", line)
-            s = w = 0
-            if _SIGN.search(line):
-                line, s = STRONG.subn(" ", line)
-                line = _TAG.sub(" ", line)
-            if _HINT.search(line):
-                line, w = WEAK.subn(lambda m: f" {m.group(0) if m.group(0).isalpha() else ''} ", line)
-            ws = ResidueIndex.terms(line)
-            strong, weak, size = strong + s, weak + w, size + len(ws) + s
-            if ws:
-                lines.append(ws)
-        n = strong + weak
-        if strong or (weak >= 2 and weak >= 0.07 * max(1, size)):
-            unfilled = max(unfilled, n)
-    return lines, unfilled
-
-
-def _values(x: object) -> list[str]:
-    if isinstance(x, dict):
-        return [v for k, y in x.items() if k != "id" for v in _values(y)]
-    if isinstance(x, list):
-        return [v for y in x for v in _values(y)]
-    return [x] if isinstance(x, str) else []
-
-
-def title_of(marks: list[list[str | None]]) -> int | None:
-    """The line that is the page's title: the first below a page frame, if all that follows it is residue or frame."""
-    framed = [all(m == "frame" for m in mark) for mark in marks]
-    first = next((i for i, f in enumerate(framed) if not f), None)
-    if not first or any(marks[first]):
-        return None
-    rest = [m for mark, f in zip(marks[first + 1 :], framed[first + 1 :]) if not f for m in mark]
-    return first if rest and sum(m is not None for m in rest) >= 0.75 * len(rest) else None
+from ..session import materialize
+from .exemplars import EXEMPLARS
+from .tokens import Codes, split
+
+# What is taken out of a text before its words are read, in this order: (a sign without which there is none, pattern, replacement).
+CODE = [
+    ("```", r"(?ms)(?:^[ \t]*```|```(?=\w*\n)).*?(?:^[ \t]*```[^\n]*$|\Z)", "\n"),
+    ("~~~", r"(?ms)^[ \t]*~~~.*?(?:^[ \t]*~~~[^\n]*$|\Z)", "\n"),
+    ("`", r"`[^`\n]*`", " "),
+    ("<", r"(?is)<title\b[^>]*>.*?</title>|<(script|style)\b.*?</\1>", " "),
+    ("<!--", r"(?s)<!--(.*?)-->", r" \1 "),
+    ("#", r"(?m)^\s{0,3}#{1,6}\s.*$", ""),
+    ('":', r"\"[^\"\n]*\"\s*:", " "),
+    ("] ", r"(?m)^(\s*[-*+]\s+)\[[ xX]\]\s+", r"\1"),
+    ("_", r"(?<!\w)_([^_\n]+)_(?!\w)", r"\1"),
+]
+#: Marks and the forms that become them: delimited names, blanks to be filled, values of nothing, notes of what is to be done.
+MARKS = [
+    ("mark", "{", r"\{\{[^{}\n]*\}\}|\$\{[^{}\n]*\}|(?<![\w{$\"'])\{[a-z][a-z0-9_ ]*\}(?![\w}])"),
+    ("mark", "<", r"<%=?[^%\n]*%>|<[A-Z][A-Z0-9]*(?:[ _][A-Z0-9]+)*>|<(?:insert|enter|your|add|type|fill in)\s[^<>\n]*>"),
+    ("mark", "@@", r"@@\w+@@"),
+    ("mark", "__", r"(?<!\w)__[A-Za-z]\w*?__(?!\w)"),
+    ("mark", "%", r"%[A-Z][A-Z0-9_]*%|%\(\w+\)s"),
+    ("mark", "$", r"\$[A-Z][A-Z0-9_]*\$"),
+    ("mark", "[", r"\[[A-Z][A-Z0-9]+(?:[ _][A-Z0-9]+)*\](?!\()|\[(?:insert|enter|your|add|type|fill in)\s[^\[\]\n]*\]"),
+    ("blank", "[", r"\[\s*\](?!\()"),
+    ("blank", "<>", r"(?:(?<=\s)|(?<=\())<>(?!\s*['\"\d])"),
+    ("blank", "..", r"\.{6,}|(?<=\s)\.{3}(?=[\s.,:;]|$)"),
+    ("blank", "??", r"\?{3,}"),
+    ("blank", "__", r"_{4,}"),
+    ("blank", "XXX", r"\bXXX+\b"),
+    ("null", "[obj", r"\[object Object\]"),
+    ("null", "undefined", r"\bundefined\b"),
+    ("null", "null", r"(?<!\bis )(?<!\bnot )(?<!\bbe )(?<!\bare )\bnull\b"),
+    ("null", "NaN", r"\bNaN\b"),
+    ("todo", "TB", r"\bTB[DA]\b"),
+    ("todo", "TODO", r"\bTODO\b"),
+    ("todo", "FIXME", r"\bFIXME\b"),
+]
+TAG = r"</?[a-zA-Z][a-zA-Z0-9]*(?:\s+[a-zA-Z:-]+(?:=(?:\"[^\"]*\"|'[^']*'))?)*\s*/?>"
+QUOTED = r"[\"“„«‘'](?:[^\"“”„«»‘’'\n\x01-\x04]*[\x01-\x04])+[^\"“”„«»‘’'\n\x01-\x04]*[\"”“»’']"
+
+#: Control characters that stand for the marks within a text, and for the end of a line.
+SIGNS = {"mark": "\x01", "blank": "\x02", "null": "\x03", "todo": "\x04"}
+LINE = "\x05"
+_CODE = [(sign, re.compile(p), by) for sign, p, by in CODE]
+_MARKS = [(sign, re.compile(p), f" {SIGNS[name]} ") for name, sign, p in MARKS]
+_TAG, _QUOTED, _CONTROL, _NAME = re.compile(TAG), re.compile(QUOTED), re.compile(r"[\x00-\x08]"), re.compile(rb"[\d_]")
+OTHER, NAME, END = -1, -2, -3
+
+
+def prose(text: str) -> list[bytes]:
+    """The words of the lines of prose with marks in their places and ``LINE`` at the end of every line."""
+    t = _CONTROL.sub(" ", text) if not text.isprintable() else text
+    for sign, pattern, by in _CODE:
+        if sign in t:
+            t = pattern.sub(by, t)
+    marked = False
+    for sign, pattern, by in _MARKS:
+        if sign in t:
+            t, k = pattern.subn(by, t)
+            marked = marked or k > 0
+    if "<" in t:
+        t = _TAG.sub(" ", t)
+    if marked:
+        t = _QUOTED.sub(" ", t)
+    return split(t.replace("\n", f" {LINE} ") + f" {LINE}", underscore=True)
+
+
+def term(w: bytes, stem: int) -> str | None:
+    """The term of a word, None if it is a name."""
+    return None if _NAME.search(w) else w.decode()[:stem]
+
+
+def terms_of(text: str, stem: int) -> list[str]:
+    """The terms of an exemplar; it names marks as ‹mark›."""
+    for name, sign in SIGNS.items():
+        text = text.replace(f"‹{name}›", f" {sign} ")
+    return [t for w in split(text, underscore=True) if (t := term(w, stem))]
 
 
 @dataclass
 class ResidueIndex:
     """Inverted index of the exemplars with the weights of their terms."""
 
-    exemplars: list[tuple[str, str]] = field(default_factory=lambda: EXEMPLARS)
-    weight: dict[str, float] = field(default_factory=dict)
+    exemplars: list[tuple[str, str]] = field(default_factory=lambda: list(EXEMPLARS))
+    stem: int = 4
+    blend: int = 2
 
     def __post_init__(self) -> None:
         self.labels = [k for k, _ in self.exemplars]
         self.post: dict[str, list[int]] = defaultdict(list)
         for i, (_, t) in enumerate(self.exemplars):
-            for w in set(self.terms(t)):
+            for w in set(terms_of(t, self.stem)):
                 self.post[w].append(i)
-
-    @staticmethod
-    def terms(t: str) -> list[str]:
-        ws = _WORD.findall(t.lower())
-        return [x for x in (w.strip("_") for w in ws) if x] if "_" in t else ws
+        self.weight: dict[str, float] = {}
+        self.other = 1.0
 
     def weigh(self, df: dict[str, int], n: int) -> None:
         self.weight = {w: math.log((n + 1) / (df.get(w, 0) + 0.5)) + 0.1 for w in self.post}
-        self.other = float(np.mean(list(self.weight.values())))
-
-    def score(self, window: list[str]) -> tuple[str | None, float]:
-        """(label, containment) of the exemplar that holds most of the window's weight."""
-        total, hit = 0.0, defaultdict(float)
-        for w in window:
-            x = self.weight.get(w)
-            if x is None:
-                total += self.other
-                continue
-            total += x
-            for e in self.post[w]:
-                hit[e] += x
-        if not hit:
-            return None, 0.0
-        e, x = max(hit.items(), key=lambda p: (p[1], -p[0]))
-        return self.labels[e], x / total
-
-    def marks(self, words: list[str], size: int, least: float) -> list[str | None]:
-        """The label of each word of a line: that of a window around it with enough containment, else None."""
-        mark: list[str | None] = [None] * len(words)
-        got = [self.weight.get(w) for w in words]
-        if not any(got):
-            return mark
-        whole = [0.0, *accumulate(self.other if x is None else x for x in got)]
-        known = [0.0, *accumulate(x or 0.0 for x in got)]
-        step = max(1, size // 2)
-        for s in range(0, max(1, len(words) - step), step):
-            e = min(s + size, len(words))
-            # no exemplar can hold more than all known terms: most windows end here
-            if known[e] - known[s] >= least * (whole[e] - whole[s]):
-                label, c = self.score(words[s:e])
-                if c >= least:
-                    mark[s:e] = [label] * (e - s)
-        return mark
+        self.other = float(np.mean(list(self.weight.values()))) if self.weight else 1.0
+
+    def score(self, window: list[str]) -> dict[str, float]:
+        """{label: containment}: what share of the window's weight the label's best exemplars hold.
+
+        ``blend`` exemplars of one label may share a window; each is the one that adds most to those before it.
+        """
+        tf = Counter(window)
+        known = {w: self.weight[w] * k for w, k in tf.items() if w in self.weight}
+        total = sum(known.values()) + self.other * sum(k for w, k in tf.items() if w not in self.weight)
+        out: dict[str, float] = {}
+        left: dict[str, dict[str, float]] = defaultdict(lambda: dict(known))
+        for _ in range(self.blend):
+            hit: dict[int, float] = defaultdict(float)
+            for w in known:
+                for e in self.post[w]:
+                    hit[e] += left[self.labels[e]].get(w, 0.0)
+            best: dict[str, int] = {}
+            for e, x in hit.items():
+                k = self.labels[e]
+                if x > 0 and (k not in best or x > hit[best[k]]):
+                    best[k] = e
+            for k, e in best.items():
+                out[k] = out.get(k, 0.0) + hit[e] / total
+                for w in list(left[k]):
+                    if e in self.post[w]:
+                        del left[k][w]
+        return out
 
 
 @dataclass(frozen=True)
 class ResidueFilter:
     window: int = 14
-    containment: float = 0.7
+    containment: float = 0.65
+    unfilled: float = 0.19
     coverage: float = 0.75
-    exemplars: tuple[tuple[str, str], ...] = tuple(EXEMPLARS)
+    title: int = 20
+    stem: int = 4
+    blend: int = 2
+    exemplars: tuple[tuple[str, str], ...] = EXEMPLARS
+
+    def _index(self) -> ResidueIndex:
+        return ResidueIndex(list(self.exemplars), self.stem, self.blend)
+
+    def coded(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, codes) of every document with a text, written once: terms of the index by number, else OTHER, END after lines."""
+        number, stem = {t: i for i, t in enumerate(self._index().post)}, self.stem
+
+        def code(w: bytes) -> int:
+            if w == LINE.encode():
+                return END
+            t = term(w, stem)
+            return NAME if t is None else number.get(t, OTHER)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            codes = Codes(code)
+            for b in batches:
+                ws = [prose(t) for t in b["text"].to_pylist()]
+                n = np.array([len(w) for w in ws], np.int64)
+                c = codes.of((x for w in ws for x in w), int(n.sum())).astype(np.int16)
+                keep = c != NAME
+                ends = np.r_[0, np.cumsum(keep)][np.r_[0, np.cumsum(n)]].astype(np.int32)
+                yield pa.record_batch([b["doc_id"], pa.ListArray.from_arrays(pa.array(ends), pa.array(c[keep]))], names=["doc_id", "codes"])
+
+        d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).filter("doc_id is not null and text is not null")
+        return materialize(d.mapInArrow(work, "doc_id long, codes array<smallint>"), "terms")
 
-    def frequencies(self, docs: DataFrame) -> tuple[dict[str, int], int]:
+    def frequencies(self, coded: DataFrame) -> tuple[dict[str, int], int]:
         """Document frequencies of the exemplars' terms over all documents, and the number of documents.
 
         What returns to the driver has one row per term of the exemplars at most.
         """
-        terms = frozenset(ResidueIndex(list(self.exemplars)).post)
-
-        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            c: Counter = Counter()
-            for b in batches:
-                for t in b["text"]:
-                    c[""] += 1
-                    c.update(terms.intersection(ResidueIndex.terms(t)))
-            yield pd.DataFrame(list(c.items()), columns=["term", "n"], dtype=object)
-
-        rows = docs.select("text").filter("text is not null").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-        df = {r.term: r.n for r in rows}
-        return df, df.pop("", 0)
+        names = list(self._index().post)
+        each = coded.select(F.explode(F.array_append(F.array_distinct("codes"), F.lit(len(names)).cast("smallint"))).alias("c")).filter("c >= 0")
+        n = {r.c: r.n for r in each.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+        return {t: n[i] for i, t in enumerate(names) if i in n}, n.get(len(names), 0)
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, label, coverage, placeholders, residue) of every document with a text."""
-        d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).filter("doc_id is not null and text is not null")
-        index = ResidueIndex(list(self.exemplars))
-        index.weigh(*self.frequencies(d))
-        size, least, cover = self.window, self.containment, self.coverage
-
-        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """(doc_id, label, coverage, unfilled, residue) of every document with a text."""
+        coded = self.coded(docs)
+        index = self._index()
+        index.weigh(*self.frequencies(coded))
+        size, least, cover, unfilled = self.window, self.containment, self.coverage, self.unfilled
+        step, longest_title = max(1, size // 4), self.title
+        names = ["doc_id", "label", "coverage", "unfilled", "residue"]
+        plain = sorted({*index.labels} - {"unfilled"})
+        holds = {k: {t for t, es in index.post.items() if any(index.labels[e] == k for e in es)} for k in plain}
+        frame = plain.index("frame") + 1 if "frame" in plain else 0
+        terms = list(index.post)
+        # by code; the last stands for every other term
+        weight = np.array([*(index.weight[t] for t in terms), 0.0])
+        is_mark = np.array([*(t in SIGNS.values() for t in terms), False])
+        of = {k + 1: np.array([*(t in holds[name] for t in terms), False]) for k, name in enumerate(plain)}
+
+        def decide(marks: np.ndarray, ends: np.ndarray) -> tuple[str | None, float]:
+            """Label and covered share of a document from its words' labels and the ends of its lines."""
+            content = marks != frame
+            begins = np.r_[0, ends[:-1]]
+            # blocks are runs of lines that aren't empty; the first that isn't frame may be a title
+            full = ends > begins
+            head = np.flatnonzero(full & ~np.r_[False, full[:-1]])
+            for i in head:
+                j = i
+                while j + 1 < len(ends) and full[j + 1]:
+                    j += 1
+                block = slice(begins[i], ends[j])
+                if content[block].any():
+                    rest = content.copy()
+                    rest[: ends[j]] = False
+                    if i == j and ends[j] - begins[i] <= longest_title and not marks[block].any() and rest.any() and (marks[rest] > 0).mean() >= cover:
+                        content = rest
+                    break
+            got = marks[content]
+            if not len(got) or not (got > 0).any():
+                return None, 0.0
+            return plain[int(np.bincount(got[got > 0]).argmax()) - 1], float((got > 0).mean())
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: dict[bytes, tuple[int, float]] = {}
             for b in batches:
+                flat = b.column("codes").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                n_codes = pc.list_value_length(b.column("codes")).to_numpy(zero_copy_only=False).astype(np.int64)
+                stop = flat == END
+                upto = np.r_[0, np.cumsum(stop)]
+                n_lines = np.diff(upto[np.r_[0, np.cumsum(n_codes)]])
+                at_end = np.flatnonzero(stop)
+                n_words = np.diff(np.r_[-1, at_end]) - 1
+                code = flat[~stop]
+                got = weight[code]
+                whole = np.r_[0, np.cumsum(np.where(code < 0, index.other, got))]
+                known = np.r_[0, np.cumsum(got)]
+                marked = np.r_[0, np.cumsum(got * is_mark[code])]
+                ends = np.cumsum(n_words)
+                begin = ends - n_words
+                count = np.where(n_words > 0, np.maximum(1, -(-(n_words - step) // step)), 0)
+                line = np.repeat(np.arange(len(n_words)), count)
+                s = begin[line] + step * (np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count))
+                e = np.minimum(s + size, ends[line])
+                total = whole[e] - whole[s]
+                # no exemplar can hold more than all known terms: most windows end here
+                maybe = (known[e] - known[s] >= least * total) | (marked[e] - marked[s] >= unfilled * total)
+                marks, left = np.zeros(len(code), np.int8), np.zeros(len(n_words))
+                for i in np.flatnonzero(maybe):
+                    key = np.sort(code[s[i] : e[i]]).tobytes()
+                    if key not in seen:
+                        if len(seen) > 200_000:
+                            seen.clear()
+                        sc = index.score([terms[c] if c >= 0 else "" for c in code[s[i] : e[i]].tolist()])
+                        u = sc.pop("unfilled", 0.0)
+                        k = max(sc, key=lambda x: (round(sc[x], 9), x == "frame"), default=None)
+                        seen[key] = (plain.index(k) + 1 if k and sc[k] >= least else 0, u)
+                    k, u = seen[key]
+                    if k:
+                        # the passage ends with the words that the label's exemplars hold
+                        held = np.flatnonzero(of[k][code[s[i] : e[i]]])
+                        marks[s[i] + held[0] : s[i] + held[-1] + 1] = k
+                    left[line[i]] = max(left[line[i]], u)
+                last = np.cumsum(n_lines)
+                hit_line = np.r_[0, np.cumsum((left >= unfilled) | (np.add.reduceat(np.r_[marks, 0], np.minimum(begin, len(marks))) > 0) & (n_words > 0))] if len(n_words) else np.zeros(1)
                 out = []
-                for doc, text in zip(b["doc_id"], b["text"]):
-                    lines, unfilled = prose(text)
-                    marks = [index.marks(ws, size, least) for ws in lines]
-                    if (t := title_of(marks)) is not None:
-                        del marks[t]
-                    flat = [m for mark in marks for m in mark if m != "frame"]
-                    labels = Counter(m for m in flat if m)
-                    content, covered = len(flat), labels.total()
-                    share = covered / content if content else 0.0
-                    label = "placeholder" if unfilled else labels.most_common(1)[0][0] if labels else None
-                    out.append((doc, label, share, unfilled, bool(unfilled) or (covered > 0 and share >= cover)))
-                yield pd.DataFrame(out, columns=["doc_id", "label", "coverage", "placeholders", "residue"], dtype=object)
-
-        return d.mapInPandas(work, "doc_id long, label string, coverage double, placeholders int, residue boolean")
+                for doc, z, m in zip(b.column("doc_id").to_pylist(), last, n_lines):
+                    a = z - m
+                    if hit_line[z] == hit_line[a]:
+                        out.append((doc, None, 0.0, 0.0, False))
+                        continue
+                    lo = begin[a]
+                    label, share = decide(marks[lo : ends[z - 1]], ends[a:z] - lo)
+                    u = float(left[a:z].max())
+                    out.append((doc, "unfilled" if u >= unfilled else label, share, u, u >= unfilled or share >= cover))
+                cols = list(zip(*out)) if out else [[]] * 5
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.bool_()))], names=names)
+
+        return coded.mapInArrow(work, "doc_id long, label string, coverage double, unfilled double, residue boolean")
 
     def found(self, docs: DataFrame) -> DataFrame:
         return self.score(docs).filter("residue").select("doc_id", "label").groupBy("doc_id").agg(F.max("label").alias("label"))

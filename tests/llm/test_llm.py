@@ -11,8 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import rank_summaries as rs
-from millrace.llm.leaks import LeakScan, longest, myers, words
-from millrace.llm.residue import ResidueFilter, prose
+from millrace.llm.leaks import LeakScan, myers, words
+from millrace.llm.residue import END, ResidueFilter, ResidueIndex, prose
+from millrace.llm.tokens import split
 from millrace.llm.source_mix import SourceMix, fit, knapsack
 
 T0 = datetime(2024, 1, 1)
@@ -72,31 +73,58 @@ def test_percentiles_and_combining_days(spark):
 
 
 # leaks
-def edit(p, t):
-    """Least edit distance of p to a part of t."""
-    row = [0] * (len(t) + 1)
+def anchored(p, t, least, rate):
+    """Whether a beginning of p is within its budget of a beginning of t, both ending with the same word."""
+    row = list(range(len(t) + 1))
     for i, a in enumerate(p, 1):
         new = [i]
         for j, b in enumerate(t, 1):
             new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (a != b)))
         row = new
-    return min(row)
+        if i >= least and any(row[j] <= i // rate and t[j - 1] == a for j in range(1, len(t) + 1)):
+            return True
+    return False
 
 
 def test_myers_equals_dynamic_programming():
-    rng = random.Random(4)
+    rng = np.random.default_rng(4)
+    for m, least in ((10, 10), (20, 20), (45, 20), (63, 30)):
+        p = rng.integers(1, 4, (150, m))
+        t = np.concatenate([p, np.zeros((150, m // 10), int)], axis=1)
+        for row in t:  # replaced, dropped and inserted words
+            for _ in range(rng.integers(0, 9)):
+                k = rng.integers(0, m)
+                row[:] = [lambda: np.r_[row[:k], 9, row[k + 1 :]], lambda: np.r_[np.delete(row, k), 0], lambda: np.insert(row, k, 9)[:-1]][rng.integers(0, 3)]()
+        n = rng.integers(least, m + 1, 150)
+        want = [anchored(a[:x].tolist(), b.tolist(), least, 10) for a, b, x in zip(p, t, n)]
+        assert myers(p, t, n, least, 10).tolist() == want and 0 < sum(want) < 150
+
+
+def test_longest_passage_that_holds_no_shorter_one():
+    rng = random.Random(12)
+    scan = LeakScan()
+    good = lambda ok: ok[0] and ok[-1] and len(ok) >= scan.least and 10 * (len(ok) - sum(ok)) <= len(ok)
     for _ in range(300):
-        p = [rng.randrange(4) for _ in range(rng.randrange(1, 70))]
-        t = [rng.randrange(4) for _ in range(rng.randrange(0, 90))]
-        assert myers(p, t) == edit(p, t)
+        n = rng.randrange(scan.longest + 1, 90)
+        ok = [True] * n
+        for i in rng.sample(range(1, n - 1), n // 10):
+            ok[i] = False
+        assert any(good(ok[s:e]) for s in range(n) for e in range(s + 20, min(n, s + scan.longest) + 1))
 
 
-def test_longest_equals_brute_force():
-    rng = random.Random(5)
-    for _ in range(200):
-        m = np.array([rng.random() < 0.9 for _ in range(rng.randrange(0, 60))], bool)
-        want = max((e - s + 1 for s in range(len(m)) for e in range(s, len(m)) if m[s] and m[e] and (~m[s : e + 1]).sum() * 10 <= e - s + 1), default=0)
-        assert longest(m, 10) == want
+@pytest.mark.parametrize(("size", "at", "how", "want"), [(24, 12, "insert", True), (24, 12, "drop", True), (24, 9, "replace", True), (60, 30, "insert", True), (20, 3, "drop", True), (17, 3, "replace", False), (12, 5, "insert", False)])
+def test_inserted_and_dropped_words(spark, size, at, how, want):
+    item = [f"w{i}" for i in range(80)]
+    ws = item[10 : 10 + size]
+    ws = {"insert": [*ws[:at], "zzz", *ws[at:]], "drop": [*ws[:at], *ws[at + 1 :]], "replace": [*ws[:at], "zzz", *ws[at + 1 :]]}[how]
+    df = spark.createDataFrame([(1, "x y z " + " ".join(ws) + " x y z")], "doc_id long, text string")
+    got = LeakScan().found(df, spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")).collect()
+    assert [tuple(r) for r in got] == ([(1, 5)] if want else [])
+
+
+def test_words():
+    assert words('A <b class="x">bold</b> [link](http://a.b/c) &amp; l’été\u00a0d\u00adeux "don\'t" x_y') == [w.encode() for w in "a bold link lété deux dont x y".split()]
+    assert split("a_b c", underscore=True) == [b"a_b", b"c"] and words("") == []
 
 
 def test_leaks(spark):
@@ -104,7 +132,7 @@ def test_leaks(spark):
     vocab = [f"w{i}" for i in range(400)]
     items = [(i, ("Answer the question below. " if i < 3 else "") + " ".join(rng.choice(vocab) for _ in range(60)) + ".") for i in range(8)]
     items += [(90, "too short to leak"), (91, None), (92, "")]
-    body = {i: words(t.removeprefix("Answer the question below. ")) for i, t in items[:8]}
+    body = {i: [w.decode() for w in words(t.removeprefix("Answer the question below. "))] for i, t in items[:8]}
     filler = lambda n: [rng.choice([f"f{i}" for i in range(300)]) for _ in range(n)]
 
     def doc(passage, markup=False):
@@ -132,7 +160,7 @@ def test_leaks(spark):
     want.add((103, 4))
     df = spark.createDataFrame([(d, t, "x", "y") for d, t in docs], "doc_id long, text string, item_id string, words string")
     it = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
-    for scan in (LeakScan(), LeakScan(block_items=3)):
+    for scan in (LeakScan(), LeakScan(block=16), LeakScan(bloom_bits=64)):  # a full filter only costs time
         got = scan.found(df, it).collect()
         assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
     assert LeakScan().found(df, it.limit(0)).count() == 0 and LeakScan().found(df.limit(0), it).count() == 0
@@ -212,6 +240,18 @@ REAL = "The loader reads every file once and keeps one row for each key. Late fi
         (REAL + "\n\nTemplates use `{{ model }}` and `${STATUS}` for this.", False),
         (REAL + "\n\n```sql\nSELECT * FROM {{ ref('x') }} WHERE d = '${DAY}'\n```", False),
         ("The column null was renamed to null in the null release.", True),
+        (REAL + "\n\nA sentence about NULL handling is still TBD, and the loader keeps one row for each key that is not null.", False),
+        (REAL + "\n\nIt printed \"Hello {{ first_name }}, your run of {{ model }}\" because the engine was off.", False),
+        (REAL + "\n\nThe form said “Dear [NAME], your order [NUMBER] has shipped” until the loader was repaired.", False),
+        ("Dear [NAME],\n\nyour order [NUMBER] has shipped on <DATE>.", True),
+        # everyday texts that are no exemplars
+        ("Whoops, the page you were looking for doesn't exist. You may have mistyped the address.", True),
+        ("This service is unavailable due to maintenance. Please try again in a few minutes.", True),
+        ("We're sorry, an internal error occurred while the server was processing your request.", True),
+        ("JavaScript appears to be disabled. Please enable JavaScript in your browser to view this site.", True),
+        ("Sorry, you don't have permission to view this page. Contact the administrator.", True),
+        ("Diese Seite wurde nicht gefunden. Bitte überprüfen Sie die Adresse.", True),
+        ("Placeholder text. Your text goes here. Placeholder text.", True),
         ("2019-01-25 03:38:42 INFO quarantine 8991 rows: invoice_ref is null\n2019-01-25 03:38:44 INFO quarantine 3 rows: sku is null", False),
         ("Menu  Search  Help\n\nBack to top", False),
         ("", False),
@@ -227,13 +267,20 @@ def test_residue_cases(spark, text, want):
     assert got == ([1] if want else [])
 
 
+def test_containment_of_blended_exemplars():
+    i = ResidueIndex([("error", "alpha beta"), ("error", "gamma delta"), ("form", "alpha gamma"), ("unfilled", "‹mark›")])
+    i.weigh({}, 10)
+    assert i.score(["alph", "beta", "gamm", "delt"]) == {"error": pytest.approx(1), "form": pytest.approx(0.5)}
+    assert i.score(["\x01", "\x01", "x", "y"])["unfilled"] == pytest.approx(0.5) and i.score(["x"]) == {}
+
+
 def test_residue_tables(spark):
     df = spark.createDataFrame([(1, "You need to enable JavaScript to run this app.", "a", 0.5), (2, None, "b", 0.5), (None, "x", "c", 0.5), (3, REAL, "d", 0.5)], "doc_id long, text string, label string, coverage double")
     f = ResidueFilter()
     kept = f.clean(df).collect()
     assert Counter(r["doc_id"] for r in kept) == Counter([2, None, 3]) and kept[0].__fields__ == df.columns
     assert f.found(df.limit(0)).count() == 0
-    assert prose("`x {{ y }}`") == ([], 0)
+    assert prose("`x {{ y }}`") == [b"\x05"] and prose("a {{ y }}\nb") == [b"a", b"\x01", b"\x05", b"b", b"\x05"] and END < 0
 
 
 def test_very_long_text_and_ties(spark):
