@@ -75,6 +75,7 @@ def shared_dir(spark: SparkSession, purpose: str = "work") -> str:
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
+    ship(spark)
     path = shared_dir(spark, purpose)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
