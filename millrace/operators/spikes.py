@@ -1,17 +1,17 @@
 """Implausible readings per source: spikes, stuck values and physically impossible readings.
 
 * **Physical bounds**: a reading below ``least`` is impossible.
-* **Hampel filter**: a reading is a candidate if, on a log scale, it is further from the rolling median of its source
-  than ``k`` scaled median absolute deviations. The limit never exceeds log(``factor``): whatever is ``factor`` times off
-  every usual level is a candidate even where a source keeps changing its level.
-* **Usual band**: a candidate is a spike only if it is more than ``factor`` times the highest or less than 1 / ``factor``
-  of the lowest usual reading. Usual is what recurs: readings are counted in fine log bins per source, and a level
-  counts if its neighbourhood holds ``share`` of the source's readings; so regular peaks, lasting levels and quiet
-  executions stay.
+* **Hampel filter**: on a log scale, a reading is an outlier if it is further from the rolling median of its source than ``k``
+  scaled median absolute deviations; once more so among the window's active readings (not zero), for a source that is quiet half
+  of the time has deviations as wide as its readings. Only outliers can be spikes.
+* **Usual band**: an outlier is withheld if it is usual for its source after all: not more than ``factor`` times the highest and
+  not less than 1 / ``factor`` of the lowest usual reading. Usual is what recurs: readings are
+  counted in fine log bins per source, and a level counts if its neighbourhood holds ``share`` of the source's readings; so
+  regular peaks, lasting levels and quiet executions stay.
 * **Stuck values**: runs of ``run`` or more equal consecutive readings of a source whose other readings rarely repeat.
 
-Hot sources are cut into blocks of a fixed number of consecutive readings with a margin on either side, so windows are
-exact and no task holds a whole source. Per block only candidates, bin counts and run counts come back.
+Readings are numbered per source by range partitions, so a hot source is cut by row count; blocks of a fixed number of consecutive
+readings with a margin on either side are the unit of work, so windows are exact and no task holds a whole source. Per block only candidates, bin counts and run counts come back.
 
 Defined results: an execution counts once however often it was delivered (least row decides); NULL readings are passed
 over; rows without an id or source are left out; a missing time sorts first; an empty input gives no rows; sources with
@@ -54,6 +54,30 @@ def rolling_median(x: np.ndarray, half: int) -> np.ndarray:
     return out
 
 
+def hampel(y: np.ndarray, half: int, k: float, floor: float) -> np.ndarray:
+    """Which readings are outliers of their windows."""
+    med = rolling_median(y, half)
+    return np.abs(y - med) > np.maximum(k * 1.4826 * rolling_median(np.abs(y - med), half), floor)
+
+
+def active_hampel(y: np.ndarray, half: int, k: float, floor: float, least: int = 5) -> np.ndarray:
+    """The same among readings that aren't zero; windows with fewer than ``least`` of them have no outliers."""
+    on = y > 0
+    if on.all() or not on.any():
+        return np.zeros(len(y), bool)
+
+    def median(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        padded = np.concatenate([np.full(half, np.nan), np.where(on, x, np.nan), np.full(half, np.nan)])
+        w = np.sort(np.lib.stride_tricks.sliding_window_view(padded, 2 * half + 1), axis=1)  # NaNs are last
+        n = (~np.isnan(w)).sum(axis=1)
+        i = np.arange(len(x))
+        return (w[i, np.maximum(n - 1, 0) // 2] + w[i, n // 2]) / 2, n
+
+    med, n = median(y)
+    mad, _ = median(np.abs(y - med))
+    return (n >= least) & (np.abs(y - med) > np.maximum(k * 1.4826 * mad, floor))
+
+
 def run_lengths(x: np.ndarray) -> np.ndarray:
     """Length of the run of equal values each entry is in."""
     if len(x) == 0:
@@ -93,6 +117,7 @@ class Spikes:
     least: float = 0.0
     half_window: int = 12
     k: float = 3.0
+    floor: float = 0.05  # on the log scale: what a constant source may vary by
     factor: float = 4.0
     share: float = 0.015
     edge: float = 0.003
@@ -100,7 +125,6 @@ class Spikes:
     repeats: float = 0.1
     per_octave: int = 12
     block: int = 4096
-    quantum_s: int = 6 * 3600
 
     def _readings(self, df: DataFrame) -> DataFrame:
         """(source, reading, id, at, value), each execution once, readings without a value left out."""
@@ -113,7 +137,7 @@ class Spikes:
 
     def blocks(self, df: DataFrame) -> DataFrame:
         """The readings with position and block; those near a border are in the neighbouring block as well (own false)."""
-        rows = positions(self._readings(df), ["source", "reading"], F.floor(F.col("at") / (self.quantum_s * 1_000_000)), [F.col("at"), F.col("id")])
+        rows = positions(self._readings(df), ["source", "reading"], [F.col("at"), F.col("id")])
         margin, size = max(self.half_window, self.run), self.block
         b, at = F.floor(F.col("pos") / size), F.pmod(F.col("pos"), F.lit(size))
         near = F.array(F.lit(0), F.when((at < margin) & (b > 0), F.lit(-1)), F.when(at >= size - margin, F.lit(1)))
@@ -122,7 +146,7 @@ class Spikes:
 
     def scan(self, df: DataFrame) -> DataFrame:
         """Candidates (kind 0), bin counts (kind 1) and run counts (kind 2) of every block, written to the shared folder."""
-        half, k, cap, run, least, per_octave = self.half_window, self.k, np.log(self.factor) * 0.999, self.run, self.least, self.per_octave
+        half, k, floor, run, least, per_octave = self.half_window, self.k, self.floor, self.run, self.least, self.per_octave
         names = [x.split()[0] for x in OUT.split(", ")]
 
         def work(t: pa.Table) -> pa.Table:
@@ -131,9 +155,7 @@ class Spikes:
             v, own, ids = t["value"].to_numpy()[order], t["own"].to_numpy(zero_copy_only=False)[order], t["id"].to_numpy()[order]
             fine = v >= least
             y = np.log1p(np.maximum(v, 0))
-            med = rolling_median(y, half)
-            mad = rolling_median(np.abs(y - med), half)
-            cand = np.abs(y - med) > np.minimum(np.maximum(k * 1.4826 * mad, 0.05), cap)
+            cand = hampel(y, half, k, floor) | active_hampel(y, half, k, floor)
             long = run_lengths(v) >= run
             flag = NEG * ~fine + CAND * (cand & fine) + RUN * long
             hit = own & (flag > 0)

@@ -15,7 +15,7 @@ from millrace.operators.entity_history import EntityHistory
 from millrace.operators.lambda_periods import LambdaPeriods
 from millrace.operators.ranks import positions
 from millrace.operators.regular_grid import RegularGrid, epoch_seconds, ssa_fill
-from millrace.operators.spikes import Spikes, rolling_median, run_lengths, usual_band
+from millrace.operators.spikes import Spikes, active_hampel, hampel, rolling_median, run_lengths, usual_band
 from millrace.session import shared_dir
 
 T0 = datetime(2024, 1, 1)
@@ -216,7 +216,7 @@ class TestSpikes:
         rows += [rows[7], rows[500], model(None, T0, kind, d=-9), model(10_000, T0, None, d=-9)]
         rng.shuffle(rows)
         df = spark.createDataFrame(rows, MODELS)
-        for s in (Spikes(), Spikes(block=64, quantum_s=3600)):
+        for s in (Spikes(), Spikes(block=64)):
             got = s.flags(df).collect()
             assert {(r["id"], r["reason"]) for r in got if r["reading"] == "duration_ms"} == want
             assert len(got) == len({(r["id"], r["reading"]) for r in got})
@@ -229,6 +229,25 @@ class TestSpikes:
         lo, hi = usual_band(np.array([0]), np.array([1]), np.array([1.0]), np.array([1.0]), 0.015, 0.003, 12)
         assert np.isnan(lo) and np.isnan(hi)
 
+    def test_filter_decides(self, spark):
+        rng = random.Random(3)
+        x = [int(rng.uniform(900, 1300)) for _ in range(400)]
+        x[200], x[300] = 60_000, 6_000
+        df = spark.createDataFrame([model(i, T0 + timedelta(minutes=i), "m", d=v, r=None) for i, v in enumerate(x)], MODELS)
+        got = lambda **kw: {r["id"] for r in Spikes(**kw).flags(df).collect() if r["reason"] == "spike"}
+        assert got() == {200, 300} and got(k=20) == {200} and got(k=1000) == set()
+
+    def test_quiet_half_of_the_time(self):
+        rng = np.random.default_rng(1)
+        y = np.log1p(np.where(np.arange(300) % 2, rng.uniform(9000, 11000, 300), 0))
+        y[151] = np.log1p(300_000)
+        assert len(hampel(y, 12, 3.0, 0.05)) == 300 and active_hampel(y, 12, 3.0, 0.05)[151]
+        on = np.where(y > 0, y, np.nan)
+        med = np.array([np.nanmedian(on[max(0, i - 12) : i + 13]) for i in range(300)])
+        mad = np.array([np.nanmedian(np.abs(on - med)[max(0, i - 12) : i + 13]) for i in range(300)])
+        assert (active_hampel(y, 12, 3.0, 0.05) == (np.abs(y - med) > np.maximum(3 * 1.4826 * mad, 0.05))).all()
+        assert not active_hampel(np.zeros(9), 2, 3.0, 0.05).any() and not active_hampel(np.ones(9), 2, 3.0, 0.05).any()
+
     def test_empty_and_one(self, spark):
         assert Spikes().flags(spark.createDataFrame([], MODELS)).count() == 0
         assert [(r["id"], r["reason"]) for r in Spikes().flags(spark.createDataFrame([model(1, d=-1, r=None), model(2, None, d=3, r=None)], MODELS)).collect()] == [(1, "impossible")]
@@ -293,6 +312,6 @@ class TestHistory:
 
 def test_positions_of_hot_group(spark):
     df = spark.range(5000).select(F.lit("a").alias("k"), (F.col("id") * 7919 % 5003).alias("x"))
-    got = positions(df, ["k"], F.floor(F.col("x") / 100), [F.col("x")]).orderBy("pos").collect()
+    got = positions(df, ["k"], [F.col("x")], parts=7).orderBy("pos").collect()
     xs = [r["x"] for r in got]
     assert [r["pos"] for r in got] == list(range(5000)) and xs == sorted(xs)
