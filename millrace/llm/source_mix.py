@@ -5,7 +5,7 @@ serve within its repeats (or a given one); a source's budget is its share of it.
 then every length gives its proportional part, and bounded-knapsack dynamic programming over the lengths still free
 fills what remains to the token, or as near below as lengths allow. Which documents of a length are taken is decided by a
 seeded hash. Only length counts, at most one row per source and length, are gathered per source; documents are ranked
-in hash buckets, so one source or one length may hold any part of all rows.
+in range partitions, so one source or one length may hold any part of all rows.
 
 Defined results: spellings of a label (case, blanks, ``-`` for ``_``) are one source; a document is a ``doc_id``, and
 repeated rows of it count once (least source and token count); NULL and empty texts have no tokens and are not taken;
@@ -16,11 +16,13 @@ over the others in proportion and reported; a text of any length counts whole; o
 from __future__ import annotations
 
 import base64
+import os
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,20 +98,20 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, max_repeats: int)
 
 @dataclass(frozen=True)
 class SourceMix:
-    """``total`` None: as much as the sources can serve. ``tokenizer`` is the path of a rank file of a public tokenizer."""
+    """``total`` None: as much as the sources can serve. ``tokenizer`` is the driver's path of a rank file of a public tokenizer; Spark takes it to the executors."""
 
     tokenizer: str = TOKENIZER
     total: int | None = None
     seed: int = 42
-    hash_buckets: int = 64
 
     def sized(self, docs: DataFrame) -> DataFrame:
         """(doc_id, source, tokens), written once: one row per document."""
-        path = self.tokenizer
+        docs.sparkSession.sparkContext.addFile(self.tokenizer)
+        name = os.path.basename(self.tokenizer)
 
         @F.pandas_udf("long")
         def count(texts: pd.Series) -> pd.Series:
-            enc = _encoding(path)
+            enc = _encoding(SparkFiles.get(name))
             return pd.Series([len(enc.encode_ordinary(t)) if t else 0 for t in texts], dtype="int64")
 
         rows = docs.select(F.col("doc_id"), label(F.col("source")).alias("source"), F.col("text")).filter("doc_id is not null and source is not null")
@@ -149,7 +151,7 @@ class SourceMix:
         budgets = materialize(self.budgets(sized, targets), "budgets")
         plan = materialize(self.plan(sized, budgets), "plan")
         h = F.xxhash64("doc_id", F.lit(self.seed))
-        ranked = positions(sized.withColumn("h", h), ["source", "tokens"], F.pmod(F.shiftright("h", 40), F.lit(self.hash_buckets)), [F.col("h"), F.col("doc_id")])
+        ranked = positions(sized.withColumn("h", h), ["source", "tokens"], [F.col("h"), F.col("doc_id")])
         sel = ranked.join(plan.filter("passes > 0 or extra > 0"), ["source", "tokens"])
         sel = sel.select("doc_id", "source", "tokens", (F.col("passes") + (F.col("pos") < F.col("extra")).cast("int")).alias("repeats")).filter("repeats > 0")
         taken = plan.groupBy("source").agg(F.sum(F.col("tokens") * (F.col("passes") * F.col("n") + F.col("extra"))).alias("tokens_taken"))
