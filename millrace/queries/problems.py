@@ -44,18 +44,25 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_grid(spark, d).filter("missing").select("soak_id", "series", "slot_start")
 
 
-def _capture(spark: SparkSession, d: str) -> DataFrame:
-    return ChangeCapture().run(table(spark, d, "raw_orders"), committed_offsets(table(spark, d, "models"), "stg_orders"))
+def _capture(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
+    return ChangeCapture().run(table(spark, d, "raw_orders"), floors=committed_offsets(table(spark, d, "models"), "stg_orders"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    c = ChangeCapture()
-    log = table(spark, d, "raw_orders")
-    return c.changes(log, c.plan(log, committed_offsets(table(spark, d, "models"), "stg_orders"))).select(F.col("key").alias("order_id"))
+    """The batch as it stands in the sink after its commit."""
+    return ChangeCapture.changes(_capture(spark, d)[0]).select(F.col("key").alias("order_id"))
 
 
 def p3_sink(spark: SparkSession, d: str) -> DataFrame:
-    return _capture(spark, d)[1].select(F.col("key").alias("order_id"), F.col("ord").alias("row_id"), "v.status", "v.total_amount")
+    c, (_, folder) = ChangeCapture(), _capture(spark, d)
+    return c.sink(spark, folder).select(F.col("key").alias("order_id"), F.col("ord").alias("row_id"), "v.status", "v.total_amount")
+
+
+def p3_next_run(spark: SparkSession, d: str) -> DataFrame:
+    """The run after: nothing has arrived since, so nothing is read and nothing changes."""
+    c, (_, folder) = ChangeCapture(), _capture(spark, d)
+    batch, _ = c.run(table(spark, d, "raw_orders"), folder)
+    return batch.agg(F.count(F.lit(1)).alias("rows"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +91,7 @@ def p6_as_of(spark: SparkSession, d: str) -> DataFrame:
     return h.as_of(*h.build(table(spark, d, "raw_customers")), _epoch(P6_MOMENT) * 1_000_000).withColumnRenamed("e", "customer_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_period_view, p2_found, p2_grid, p3_found, p3_sink, p5_found, p6_found, p6_versions, p6_as_of)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_period_view, p2_found, p2_grid, p3_found, p3_sink, p3_next_run, p5_found, p6_found, p6_versions, p6_as_of)}
 
 # keys by their digits; without a key the bounds
 _PERIODS = """
@@ -130,4 +137,5 @@ ORACLE = {
     "p6_versions": _P6 + f"SELECT c AS customer_id, t AS tier, {_P6_TIMES} FROM v WHERE NOT gone",
     "p6_as_of": _P6 + f", l AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY ts DESC) AS i FROM s WHERE ts <= TIMESTAMP '{P6_MOMENT}') SELECT c AS customer_id, t AS tier, m AS email FROM l WHERE i = 1 AND NOT gone",
 }
-ORACLE["p3_sink"] = ORACLE["p3_found"].replace("SELECT a.order_id FROM", "SELECT a.order_id, a.row_id, a.status, a.total_amount FROM")
+ORACLE["p3_sink"] = "SELECT order_id, row_id, status, total_amount FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY _fivetran_synced DESC, row_id DESC) AS i FROM raw_orders WHERE _fivetran_synced IS NOT NULL AND order_id IS NOT NULL AND tenant IS NOT NULL AND row_id IS NOT NULL) WHERE i = 1"
+ORACLE["p3_next_run"] = "SELECT CAST(0 AS BIGINT) AS rows"

@@ -163,29 +163,68 @@ class TestCapture:
         att = [model(1, T0, "stg", mark=T0 + timedelta(minutes=5), tenant="t0"), model(2, T0 + h(1), "stg", mark=marks["t0"], tenant="t0", status=" SUCCESS"), model(3, T0 + h(2), "stg", mark=T0 + h(9), tenant="t0", status="failed"), model(4, T0, "stg", mark=marks["t1"], tenant="t1"), model(5, T0, "stg", tenant="t2"), model(6, T0 + h(3), "other", mark=T0 + h(9), tenant="t0")]
         log = spark.createDataFrame(rows, ORDERS)
         c = ChangeCapture()
-        com = committed_offsets(spark.createDataFrame(att, MODELS), "stg")
-        assert {r["key"] for r in c.changes(log, c.plan(log, com)).collect()} == self.brute(rows, marks)
+        batch, folder = c.run(log, floors=committed_offsets(spark.createDataFrame(att, MODELS), "stg"))
+        assert {r["key"] for r in c.changes(batch).collect()} == self.brute(rows, marks)
+        assert self.content(c.sink(spark, folder)) == self.newest(rows)
 
-    def test_replay_after_failure_and_idempotent_sink(self, spark):
+    def newest(self, rows):
+        out = {}
+        for r in rows:
+            if r[1] is not None and r[2] is not None and r[7] is not None and (r[1] not in out or (out[r[1]][7], out[r[1]][0]) < (r[7], r[0])):
+                out[r[1]] = r
+        return {k: (r[0], r[5]) for k, r in out.items()}
+
+    def content(self, sink):
+        rows = sink.collect()
+        assert len(rows) == len({r["key"] for r in rows})
+        return {r["key"]: (r["ord"], r["v"]["status"]) for r in rows}
+
+    def test_late_delivery_is_processed_once(self, spark):
         rows = self.rows()
-        log, c = spark.createDataFrame(rows, ORDERS), ChangeCapture()
-        com = spark.createDataFrame([], "partition string, committed long")
-        folder = c.plan(log, com, shared_dir(spark, "capture"))
-        before = {r["key"] for r in c.changes(log, folder).collect()}
-        # the run fails here; later deliveries arrive before it is repeated
-        late = [(9999, 7, "t3", 5, None, "z", None, T0 + h(50), "k", "v", "o")]
-        log2 = log.unionByName(spark.createDataFrame(late, ORDERS))
-        batch, sink, done = c.run(log2, com, folder=folder)
-        assert {r["key"] for r in batch.collect()} == before
-        again = c.apply(sink, batch)
-        assert sorted(map(str, again.collect())) == sorted(map(str, sink.collect()))
-        nxt, sink2, _ = c.run(log2, done, sink)
-        assert {r["key"] for r in nxt.collect()} == {7} and {r["key"]: r["ord"] for r in sink2.collect()}[7] == 9999
-        assert c.run(log2, c.run(log2, done, sink)[2], sink2)[0].count() == 0
+        c = ChangeCapture()
+        _, folder = c.run(spark.createDataFrame(rows, ORDERS))
+        # both arrive later, with stamps before anything else: one is the first of its key, one older than what the sink has
+        late = [(9000, 777, "t1", 5, None, "first", None, T0 - h(9), "k", "v", "o"), (9001, 7, "t3", 5, None, "old", None, T0 - h(9), "k", "v", "o")]
+        log = spark.createDataFrame(rows + late, ORDERS)
+        batch, _ = c.run(log, folder)
+        assert {(r["key"], r["state"]) for r in batch.collect()} == {(777, "new"), (7, "stale")}
+        assert self.content(c.sink(spark, folder)) == self.newest(rows + late)
+        assert c.run(log, folder)[0].count() == 0
+        c.compact(spark, folder)
+        assert self.content(c.sink(spark, folder)) == self.newest(rows + late) and c.run(log, folder)[0].count() == 0
+
+    @pytest.mark.parametrize("crash", ["plan", "process", "commit"])
+    def test_replay_after_a_crash(self, spark, crash):
+        rows, c, folder = self.rows(), ChangeCapture(), shared_dir(spark, "capture")
+        log = spark.createDataFrame(rows[:300], ORDERS)
+        c.run(log.filter("row_id < 200"), folder)
+        n = c.plan(log, folder)
+        if crash != "plan":
+            c.process(log, folder, n)
+        if crash == "commit":
+            c.commit(spark, folder, n)
+        # later deliveries arrive before the run is repeated
+        full = spark.createDataFrame(rows, ORDERS)
+        before = self.content(c.sink(spark, folder))
+        assert before == self.newest(rows[:300] if crash == "commit" else rows[:200])
+        batch, _ = c.run(full, folder)
+        took = {r["ord"] for r in batch.collect()}
+        assert all(200 <= o < 300 for o in took) if crash != "commit" else all(o >= 300 for o in took)
+        c.run(full, folder)
+        assert self.content(c.sink(spark, folder)) == self.newest(rows) and c.run(full, folder)[0].count() == 0
+
+    def test_later_runs_read_beyond_the_offset_only(self, spark, tmp_path):
+        path, c = str(tmp_path / "log"), ChangeCapture()
+        spark.createDataFrame(self.rows(), ORDERS).write.parquet(path)
+        log = spark.read.parquet(path)
+        _, folder = c.run(log)
+        plan = c.delta(log, folder, c.plan(log, folder))._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThan(row_id,399)" in plan
 
     def test_empty(self, spark):
         log, c = spark.createDataFrame([], ORDERS), ChangeCapture()
-        assert c.changes(log, c.plan(log, committed_offsets(spark.createDataFrame([], MODELS), "stg"))).count() == 0
+        batch, folder = c.run(log, floors=committed_offsets(spark.createDataFrame([], MODELS), "stg"))
+        assert batch.count() == 0 and c.sink(spark, folder).count() == 0 and c.run(log, folder)[0].count() == 0
 
 
 class TestSpikes:
