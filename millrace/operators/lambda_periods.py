@@ -2,9 +2,10 @@
 
 * The **fast layer** increments provisional periods with whatever arrived since the last scheduled batch. It
   neither removes repeated deliveries nor looks at the log again, so it is cheap and may be off.
-* The **batch layer** recomputes every open period from the full log and replaces its row.
+* The **batch layer** recomputes every open period from the full log and replaces its row. Its records say whether the fast layer
+  had them: those it had not are the corrections.
 * A period is **frozen** by the first batch at or after its end + cut-off + delivery allowance. Frozen rows are
-  carried over and never computed again.
+  carried over and never computed again; the log's rows of frozen periods are dropped before anything is shuffled.
 
 Lateness is that of the event (``started_at`` against the end of its period): up to ``provisional_h`` hours is on
 time, up to ``cutoff_h`` hours is a late record that the batch layer adds, beyond that the record is closed out. The
@@ -73,7 +74,7 @@ class LambdaPeriods:
     period_end: str = "partition_end"
     provisional_h: int = 2
     cutoff_h: int = 72
-    delivery_h: int = 120
+    delivery_h: int = 144
 
     def _resolved(self, log: DataFrame) -> DataFrame:
         """The counted rows of the log with the period of each; no shuffle."""
@@ -109,9 +110,28 @@ class LambdaPeriods:
         step = batch_every_h * HOUR
         return (F.ceil((end + (self.cutoff_h + self.delivery_h) * HOUR) / F.lit(step)) * step).cast("long")
 
-    def corrections(self, log: DataFrame) -> DataFrame:
-        """The late records: those that the batch layer adds to a period the fast layer had shown without them."""
-        return self.ledger(log).filter(F.col("layer") == "batch")
+    def members(self, log: DataFrame, as_of: int, last: int | None = None, batch_every_h: int = 24) -> DataFrame:
+        """The batch layer's records: (id, key, period_start, period_end, value, arrived, fast), one per execution.
+
+        Of what had arrived by ``as_of``, executions of periods that the batch at ``last`` had not frozen, up to the cut-off and
+        arrived before their period freezes. ``fast`` tells whether the fast layer had counted one of its deliveries.
+        """
+        us = F.lit(1_000_000)
+        rows = self._resolved(log).filter((F.col("arrived") <= as_of * 1_000_000) & F.col("key").isNotNull() & (F.col("at") - F.col("p.end") * us <= self.cutoff_h * HOUR * 1_000_000))
+        if last is not None:
+            rows = rows.filter(self.freeze_at(F.col("p.end"), batch_every_h) > last)
+        r = F.struct("arrived", "at", "key", "value", "p")
+        one = rows.groupBy("id").agg(F.min(r).alias("r"), F.max(F.col("at") - F.col("p.end") * us <= self.provisional_h * HOUR * 1_000_000).alias("fast")).select("id", "r.*", "fast")
+        one = one.filter(F.col("arrived") <= self.freeze_at(F.col("p.end"), batch_every_h) * us)
+        return one.select("id", "key", F.col("p.start").alias("period_start"), F.col("p.end").alias("period_end"), "value", "arrived", "fast")
+
+    def frozen_by(self, t: int, batch_every_h: int = 24) -> Column:
+        return self.freeze_at(F.col("period_end"), batch_every_h) <= t
+
+    @staticmethod
+    def corrections(members: DataFrame) -> DataFrame:
+        """The records that the batch layer adds to periods the fast layer had shown without them."""
+        return members.filter("not fast")
 
     def fast(self, log: DataFrame, since: int, until: int) -> DataFrame:
         """Increments of provisional periods from the arrivals in (since, until], in epoch seconds."""
@@ -131,12 +151,12 @@ class LambdaPeriods:
         Periods that an earlier batch (the one at ``last``) has frozen are taken from ``view`` as they are; every
         other period is computed from all of the log that had arrived.
         """
-        rows = self.ledger(log.filter(micros(F.col(f"`{self.arrival}`")) <= as_of * 1_000_000), batch_every_h).filter(F.col("layer").isin("fast", "batch"))
-        frozen_by = lambda t: self.freeze_at(F.col("period_end"), batch_every_h) <= t
-        if last is not None:
-            rows = rows.filter(~frozen_by(last))
-        fresh = self._by_period(rows.filter(~F.col("frozen_out"))).withColumn("frozen", frozen_by(as_of))
-        return fresh if view is None or last is None else view.filter("frozen").unionByName(fresh)
+        return self._replace(self.members(log, as_of, last, batch_every_h), view, as_of, batch_every_h)
+
+    def _replace(self, members: DataFrame, view: DataFrame | None, as_of: int, batch_every_h: int) -> DataFrame:
+        rows = members.withColumn("layer", F.when(F.col("fast"), "fast").otherwise("batch"))
+        fresh = self._by_period(rows).withColumn("frozen", self.frozen_by(as_of, batch_every_h))
+        return fresh if view is None else view.filter("frozen").unionByName(fresh)
 
     def serve(self, view: DataFrame, fast: DataFrame) -> DataFrame:
         """What a reader sees between two batches: batch view plus the fast layer's increments."""
@@ -148,10 +168,32 @@ class LambdaPeriods:
                  *[F.sum(c).alias(c) for c in ("executions", "rows_copied", "late_executions")])
         )
 
-    def run(self, log: DataFrame, batches: list[int], batch_every_h: int = 24) -> DataFrame:
-        """All scheduled batches in turn; every view is written to the shared folder before the next."""
-        view, last = None, None
+    def schedule(self, log: DataFrame, every_days: int = 14) -> list[int]:
+        """Batches in a fixed rhythm from the log's first arrival until after its last."""
+        r = log.agg(F.min(self.arrival).alias("a"), F.max(self.arrival).alias("z")).select(F.unix_seconds(F.col("a").cast("timestamp")).alias("a"), F.unix_seconds(F.col("z").cast("timestamp")).alias("z")).first()
+        if r.a is None:
+            return []
+        step, day = every_days * 24 * HOUR, r.a - r.a % (24 * HOUR)
+        return list(range(day + step, r.z + 1 + step, step))
+
+    def run(self, log: DataFrame, batches: list[int], batch_every_h: int = 24) -> tuple[DataFrame, DataFrame]:
+        """All scheduled batches in turn: (the view, the records behind it).
+
+        Every batch's records and view are written to the shared folder before the next; records of frozen periods stay as
+        they were when their period froze.
+        """
+        view, last, settled = None, None, []
         for t in batches:
-            view = materialize(self.batch(log, view, t, last, batch_every_h), "periods")
+            members = materialize(self.members(log, t, last, batch_every_h), "members")
+            view = materialize(self._replace(members, view, t, batch_every_h), "periods")
+            if settled:
+                settled[-1] = settled[-1].filter(self.frozen_by(last, batch_every_h))
+            settled.append(members)
             last = t
-        return view
+        if view is None:
+            settled.append(self.members(log, 0))
+            view = self._replace(settled[0], None, 0, batch_every_h)
+        out = settled[0]
+        for m in settled[1:]:
+            out = out.unionByName(m)
+        return view, out

@@ -14,7 +14,10 @@ from ..session import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return LambdaPeriods().corrections(table(spark, d, "models")).select(F.col("id").alias("execution_id"))
+    """What the scheduled batches have added to the fast layer's periods, over the whole log."""
+    p, log = LambdaPeriods(), table(spark, d, "models")
+    _, members = p.run(log, p.schedule(log))
+    return p.corrections(members).select(F.col("id").alias("execution_id"))
 
 
 def _epoch(text: str) -> int:
@@ -28,10 +31,21 @@ BATCHES = ("2019-01-21", "2019-02-11")
 
 
 def p1_period_view(spark: SparkSession, d: str) -> DataFrame:
-    view = LambdaPeriods().run(table(spark, d, "models"), [_epoch(t) for t in BATCHES])
+    view, _ = LambdaPeriods().run(table(spark, d, "models"), [_epoch(t) for t in BATCHES])
     return view.select(F.col("key").alias("model_name"), F.col("period_end").alias("period_end_s"), "executions", "rows_copied", "late_executions", "frozen")
 
 
+#: Between the batches: readers see the first batch's view and what the fast layer has counted since.
+P1_NOW = "2019-01-24 06:00:00"
+
+
+def p1_served_view(spark: SparkSession, d: str) -> DataFrame:
+    p, log, t = LambdaPeriods(), table(spark, d, "models"), _epoch(BATCHES[0])
+    view, _ = p.run(log, [t])
+    served = p.serve(view, p.fast(log, t, _epoch(P1_NOW)))
+    return served.select(F.col("key").alias("model_name"), F.col("period_end").alias("period_end_s"), "executions", "rows_copied", "late_executions", "frozen", "provisional")
+
+
 def p2_grid(spark: SparkSession, d: str) -> DataFrame:
     g = RegularGrid()
     samples, runs = table(spark, d, "samples"), table(spark, d, "runs")
@@ -91,7 +105,7 @@ def p6_as_of(spark: SparkSession, d: str) -> DataFrame:
     return h.as_of(*h.build(table(spark, d, "raw_customers")), _epoch(P6_MOMENT) * 1_000_000).withColumnRenamed("e", "customer_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_period_view, p2_found, p2_grid, p3_found, p3_sink, p3_next_run, p5_found, p6_found, p6_versions, p6_as_of)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_period_view, p1_served_view, p2_found, p2_grid, p3_found, p3_sink, p3_next_run, p5_found, p6_found, p6_versions, p6_as_of)}
 
 # keys by their digits; without a key the bounds
 _PERIODS = """
@@ -104,6 +118,7 @@ p AS (SELECT execution_id, model_name, started_at, recorded_at, rows_copied,
 u AS (SELECT execution_id, any_value(model_name) AS model_name, any_value(started_at) AS ts, min(recorded_at) AS arrived, any_value(e) AS e, any_value(rows_copied) AS rows_copied
       FROM p WHERE e IS NOT NULL GROUP BY execution_id)
 """
+_FREEZE = "to_timestamp(ceil((epoch(e) + 216 * 3600) / 86400) * 86400)::TIMESTAMP"
 _P6 = """
 WITH r AS (SELECT customer_id AS c, _fivetran_synced AS ts, coalesce(_fivetran_deleted, false) AS gone, lower(trim(tier)) AS t, lower(trim(email)) AS m,
   row_number() OVER (PARTITION BY customer_id, _fivetran_synced ORDER BY row_id DESC) AS i FROM raw_customers WHERE customer_id IS NOT NULL AND _fivetran_synced IS NOT NULL),
@@ -123,9 +138,14 @@ g AS (SELECT soak_id, series, unnest(generate_series(lo, hi, 300)) AS slot FROM
 
 ORACLE = {
     "p1_found": _PERIODS + "SELECT execution_id FROM u WHERE ts > e + INTERVAL 2 HOUR AND ts <= e + INTERVAL 72 HOUR",
-    "p1_period_view": _PERIODS + f""", f AS (SELECT *, to_timestamp(ceil((epoch(e) + 192 * 3600) / 86400) * 86400)::TIMESTAMP AS fz FROM u WHERE ts <= e + INTERVAL 72 HOUR AND arrived <= TIMESTAMP '{BATCHES[1]}')
+    "p1_period_view": _PERIODS + f""", f AS (SELECT *, {_FREEZE} AS fz FROM u WHERE ts <= e + INTERVAL 72 HOUR AND arrived <= TIMESTAMP '{BATCHES[1]}')
         SELECT model_name, CAST(epoch(e) AS BIGINT) AS period_end_s, count(*) AS executions, CAST(coalesce(sum(rows_copied), 0) AS BIGINT) AS rows_copied, count(*) FILTER (WHERE ts > e + INTERVAL 2 HOUR) AS late_executions, fz <= TIMESTAMP '{BATCHES[1]}' AS frozen
         FROM f WHERE model_name IS NOT NULL AND arrived <= fz AND (fz > TIMESTAMP '{BATCHES[0]}' OR arrived <= TIMESTAMP '{BATCHES[0]}') GROUP BY model_name, e, fz""",
+    "p1_served_view": _PERIODS + f""", v AS (SELECT model_name, e, rows_copied, ts > e + INTERVAL 2 HOUR AS late, {_FREEZE} <= TIMESTAMP '{BATCHES[0]}' AS frozen, false AS provisional
+          FROM u WHERE ts <= e + INTERVAL 72 HOUR AND arrived <= TIMESTAMP '{BATCHES[0]}' AND arrived <= {_FREEZE}
+        UNION ALL SELECT model_name, e, rows_copied, false, false, true FROM p WHERE started_at <= e + INTERVAL 2 HOUR AND recorded_at > TIMESTAMP '{BATCHES[0]}' AND recorded_at <= TIMESTAMP '{P1_NOW}')
+        SELECT model_name, CAST(epoch(e) AS BIGINT) AS period_end_s, count(*) AS executions, CAST(coalesce(sum(rows_copied), 0) AS BIGINT) AS rows_copied, count(*) FILTER (WHERE late) AS late_executions, bool_or(frozen) AS frozen, bool_or(provisional) AS provisional
+        FROM v WHERE model_name IS NOT NULL GROUP BY model_name, e""",
     "p2_found": _GRID + "SELECT g.soak_id, g.series, g.slot AS slot_start FROM g LEFT JOIN o USING (soak_id, series, slot) WHERE o.slot IS NULL",
     "p3_found": """
         WITH w AS (SELECT tenant, arg_max(metadata_watermark, (started_at, execution_id)) AS w FROM (SELECT * FROM models WHERE model_name = 'stg_orders' AND lower(trim(status)) = 'success') GROUP BY tenant),

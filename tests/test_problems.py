@@ -70,8 +70,9 @@ class TestLambdaPeriods:
         assert (first.first()["executions"], first.first()["frozen"]) == (1, False)
         served = p.serve(first, p.fast(df, e(24), e(48))).collect()
         assert [r["executions"] for r in served] == [1]
-        view = p.run(df, [e(24), e(48), e(96), e(120)])
+        view, members = p.run(df, [e(24), e(48), e(96), e(120)])
         r = view.first()
+        assert [x['id'] for x in p.corrections(members).collect()] == [2] and sorted(x['id'] for x in members.collect()) == [1, 2]
         assert (r["executions"], r["rows_copied"], r["late_executions"], r["frozen"]) == (2, 15, 1, True)
         assert [x["id"] for x in p.ledger(df).filter("frozen_out").collect()] == [3]
 
@@ -87,8 +88,22 @@ class TestLambdaPeriods:
 
     def test_empty(self, spark):
         df = spark.createDataFrame([], MODELS)
-        assert LambdaPeriods().corrections(df).count() == 0
-        assert LambdaPeriods().run(df, [0, 86400]).count() == 0
+        p = LambdaPeriods()
+        assert p.schedule(df) == [] and [x.count() for x in p.run(df, [])] == [0, 0]
+        assert [x.count() for x in p.run(df, [0, 86400])] == [0, 0]
+
+    def test_schedule_does_not_change_what_is_found(self, spark):
+        rng, p = random.Random(9), LambdaPeriods()
+        rows = []
+        for i in range(400):
+            start, key = T0 + h(rng.randrange(900)), T0 + h(rng.randrange(900))
+            rows.append(model(i, start, rng.choice(["a", "a", "b"]), key=key.strftime("%Y-%m-%dT%H"), arrived=start + h(rng.randrange(120))))
+        df = spark.createDataFrame(rows + rows[:40], MODELS)
+        want = {r["id"] for r in p.ledger(df).filter("layer = 'batch'").collect()}
+        for days in (3, 14, 100):
+            view, members = p.run(df, p.schedule(df, days))
+            assert {r["id"] for r in p.corrections(members).collect()} == want and members.count() == members.select("id").distinct().count()
+            assert sum(r["late_executions"] for r in view.collect()) == len(want)
 
 
 class TestGrid:
