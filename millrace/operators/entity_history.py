@@ -1,11 +1,12 @@
 """History of changing entity attributes, kept as checkpoints and deltas.
 
 Storage has two tables. **Patches** hold, for every delivery that changed something, only the attributes that
-changed. **Checkpoints** hold the full version of an entity at the beginning of each segment (a fixed span of time) in
-which it has patches. Validity rows, or the state at a moment, come from folding patches forward from the nearest
-checkpoint, so reading a moment touches one segment, and no entity is ever sorted as a whole: windows run within
-(entity, segment), and only one row per segment goes through a window per entity. ``segment_s`` is how finely a hot entity
-is cut: six hours make more than a hundred pieces of four weeks.
+changed; an entity's patches are numbered and cut into segments of ``every``. **Checkpoints** hold the full version of an entity
+as each of its segments but the first begins, so there is one for every so many patches. Validity rows, or the state at a
+moment, come from folding patches forward from the nearest checkpoint: a fold spans ``every`` patches at most.
+
+No entity is ever sorted as a whole. Deliveries get their positions from range partitions; comparisons with the delivery
+before run within blocks of ``block`` deliveries of an entity, and only one row per block goes through a window per entity.
 
 Defined results: deliveries without an entity or a stamp are left out; of several deliveries of an entity with one
 stamp that with the greatest ``order`` counts, ties there by the greatest state; text attributes compare without case and
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .ranks import positions
 
 
 @dataclass(frozen=True)
@@ -31,16 +33,17 @@ class EntityHistory:
     deleted: str | None = "_fivetran_deleted"
     attributes: tuple[str, ...] = ("tier",)
     normalize: bool = True
-    segment_s: int = 6 * 3600
+    every: int = 16
+    block: int = 4096
 
     def _deliveries(self, df: DataFrame) -> DataFrame:
-        """One row per entity and stamp: (e, at, seg, gone, attributes)."""
+        """One row per entity and stamp: (e, at, gone, v)."""
         c = lambda n: F.col(f"`{n}`")
         norm = lambda n: F.lower(F.trim(c(n))) if self.normalize and dict(df.dtypes)[n] == "string" else c(n)
         gone = F.coalesce(c(self.deleted), F.lit(False)) if self.deleted else F.lit(False)
         rows = df.select(c(self.entity).alias("e"), F.unix_micros(c(self.stamp).cast("timestamp")).alias("at"), c(self.order).alias("o"), gone.alias("gone"), F.struct(*[norm(a).alias(a) for a in self.attributes]).alias("v"))
         one = rows.filter("e is not null and at is not null").groupBy("e", "at").agg(F.max(F.struct("o", "gone", "v")).alias("m"))
-        return one.select("e", "at", F.floor(F.col("at") / F.lit(self.segment_s * 1_000_000)).alias("seg"), F.col("m.gone").alias("gone"), F.when(~F.col("m.gone"), F.col("m.v")).alias("v"))
+        return one.select("e", "at", F.col("m.gone").alias("gone"), F.when(~F.col("m.gone"), F.col("m.v")).alias("v"))
 
     def _state(self) -> Column:
         return F.struct("gone", "v")
@@ -48,27 +51,31 @@ class EntityHistory:
     def build(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(checkpoints, patches), both written to the shared folder.
 
-        checkpoints: e, seg, gone, v -- the full version as the segment begins (no row before the first delivery).
+        checkpoints: e, seg, at, gone, v -- the full version before the segment's first patch, whose stamp is ``at``.
         patches: e, seg, at, gone, ch (per attribute whether it is set), v (attributes that changed, else NULL).
         """
-        rows = self._deliveries(df)
-        inside = Window.partitionBy("e", "seg").orderBy("at")
-        rows = rows.withColumn("before", F.lag(self._state()).over(inside)).withColumn("head", F.row_number().over(inside) == 1)
-        rows = materialize(rows.filter(F.col("head") | ~F.col("before").eqNullSafe(self._state())), "deltas")
-        # last state of each segment, carried to the next one of the entity: one row per entity and segment
-        ends = rows.groupBy("e", "seg").agg(F.max(F.struct("at", "gone", "v")).alias("m"))
-        carry = ends.withColumn("p", F.lag(F.col("m")).over(Window.partitionBy("e").orderBy("seg"))).select("e", "seg", F.col("p.gone").alias("c_gone"), F.col("p.v").alias("c_v"), F.col("p").isNotNull().alias("known"))
-        checkpoints = materialize(carry.filter("known").select("e", "seg", F.col("c_gone").alias("gone"), F.col("c_v").alias("v")), "checkpoints")
-        full = rows.join(checkpoints.select("e", "seg", F.struct("gone", "v").alias("cp")), ["e", "seg"], "left")
-        before = F.when(F.col("head"), F.col("cp")).otherwise(F.col("before"))
-        full = full.withColumn("before", before).filter(~F.col("before").eqNullSafe(self._state()))
-        set_ = {a: F.col("before").isNull() | F.col("before.v").isNull() | ~F.col(f"before.v.{a}").eqNullSafe(F.col(f"v.{a}")) for a in self.attributes}
-        patches = full.select(
-            "e", "seg", "at", "gone", F.col("v").isNotNull().alias("there"),
-            F.struct(*[(set_[a] & F.col("v").isNotNull()).alias(a) for a in self.attributes]).alias("ch"),
-            F.struct(*[F.when(set_[a], F.col(f"v.{a}")).alias(a) for a in self.attributes]).alias("v"),
+        rows = positions(self._deliveries(df), ["e"], [F.col("at")])
+        rows = rows.select("e", "at", "pos", F.floor(F.col("pos") / self.block).alias("blk"), self._state().alias("s"))
+        # the last state of each block, carried to the next one of the entity: one row per entity and block
+        ends = rows.groupBy("e", "blk").agg(F.max_by("s", "pos").alias("end"))
+        carry = ends.select("e", "blk", F.lag("end").over(Window.partitionBy("e").orderBy("blk")).alias("carry"))
+        inside = Window.partitionBy("e", "blk").orderBy("pos")
+        rows = rows.join(carry, ["e", "blk"]).withColumn("before", F.when(F.pmod("pos", F.lit(self.block)) == 0, F.col("carry")).otherwise(F.lag("s").over(inside)))
+        rows = rows.filter(~F.col("before").eqNullSafe(F.col("s"))).withColumn("i", F.row_number().over(inside) - 1).drop("carry", "pos")
+        rows = materialize(rows, "deltas")
+        counts = rows.groupBy("e", "blk").agg(F.count(F.lit(1)).alias("n"))
+        so_far = F.coalesce(F.sum("n").over(Window.partitionBy("e").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        rows = rows.join(counts.select("e", "blk", so_far.alias("off")), ["e", "blk"]).withColumn("n", F.col("off") + F.col("i"))
+        rows = rows.withColumn("seg", F.floor(F.col("n") / self.every))
+        checkpoints = rows.filter((F.col("n") > 0) & (F.pmod("n", F.lit(self.every)) == 0)).select("e", "seg", "at", "before.gone", "before.v")
+        there = F.col("s.v").isNotNull()
+        set_ = {a: F.col("before.v").isNull() | ~F.col(f"before.v.{a}").eqNullSafe(F.col(f"s.v.{a}")) for a in self.attributes}
+        patches = rows.select(
+            "e", "seg", "at", "s.gone", there.alias("there"),
+            F.struct(*[(set_[a] & there).alias(a) for a in self.attributes]).alias("ch"),
+            F.struct(*[F.when(set_[a], F.col(f"s.v.{a}")).alias(a) for a in self.attributes]).alias("v"),
         )
-        return checkpoints, materialize(patches, "patches")
+        return materialize(checkpoints, "checkpoints"), materialize(patches, "patches")
 
     def fold(self, checkpoints: DataFrame, patches: DataFrame) -> DataFrame:
         """The full version after every patch: patches folded forward from the segment's checkpoint."""
@@ -86,7 +93,8 @@ class EntityHistory:
         """One row per version: e, attributes, valid_from, valid_to (microseconds; NULL while it holds)."""
         rows = self.fold(checkpoints, patches)
         nxt = F.lead("at").over(Window.partitionBy("e", "seg").orderBy("at"))
-        heads = patches.groupBy("e", "seg").agg(F.min("at").alias("first")).withColumn("after", F.lead("first").over(Window.partitionBy("e").orderBy("seg"))).select("e", "seg", "after")
+        # a segment's last version ends where the next segment, if any, begins
+        heads = checkpoints.select("e", (F.col("seg") - 1).alias("seg"), F.col("at").alias("after"))
         rows = rows.withColumn("next", nxt).join(heads, ["e", "seg"], "left")
         return rows.filter(~F.col("gone")).select("e", *self.attributes, F.col("at").alias("valid_from"), F.coalesce("next", "after").alias("valid_to"))
 

@@ -49,9 +49,14 @@ def p1_served_view(spark: SparkSession, d: str) -> DataFrame:
 def p2_grid(spark: SparkSession, d: str) -> DataFrame:
     g = RegularGrid()
     samples, runs = table(spark, d, "samples"), table(spark, d, "runs")
-    fd = g.slots(samples, "soak_id", "fd_total", epoch_seconds(F.col("t")), F.col("fd_total") > 0, F.col("fd_total"))
+    fd = g.slots(samples, "soak_id", "fd_total", epoch_seconds(F.col("t")), F.col("fd_total") > 0, F.col("fd_total"), "sample_id")
     started = F.unix_seconds(F.col("started_at").cast("timestamp"))
-    return g.grid([fd, g.slots(runs, "soak_id", "runs", started, count_of="run_id")]).select(F.col("source").alias("soak_id"), "series", F.col("slot").alias("slot_start"), "value", "missing")
+    return g.grid([fd, g.slots(runs, "soak_id", "runs", started, count_of="run_id")]).select(F.col("source").alias("soak_id"), "series", F.col("slot").alias("slot_start"), "value", "missing", "converged")
+
+
+def p2_observed(spark: SparkSession, d: str) -> DataFrame:
+    """The grid's slots with a value of their own."""
+    return p2_grid(spark, d).filter("not missing").select("soak_id", "series", "slot_start", "value")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -105,7 +110,7 @@ def p6_as_of(spark: SparkSession, d: str) -> DataFrame:
     return h.as_of(*h.build(table(spark, d, "raw_customers")), _epoch(P6_MOMENT) * 1_000_000).withColumnRenamed("e", "customer_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_period_view, p1_served_view, p2_found, p2_grid, p3_found, p3_sink, p3_next_run, p5_found, p6_found, p6_versions, p6_as_of)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_period_view, p1_served_view, p2_found, p2_grid, p2_observed, p3_found, p3_sink, p3_next_run, p5_found, p6_found, p6_versions, p6_as_of)}
 
 # keys by their digits; without a key the bounds
 _PERIODS = """
@@ -129,7 +134,7 @@ v AS (SELECT *, lead(ts) OVER (PARTITION BY c ORDER BY ts) AS nx FROM g WHERE p
 _P6_TIMES = "strftime(ts, '%Y-%m-%d %H:%M:%S') AS valid_from, coalesce(strftime(nx, '%Y-%m-%d %H:%M:%S'), 'open') AS valid_to"
 _GRID = """
 WITH o AS (SELECT soak_id, 'fd_total' AS series, (s // 300) * 300 AS slot, avg(fd_total) AS v FROM (
-    SELECT soak_id, fd_total, CASE WHEN abs(t) < 100000000000 THEN t WHEN abs(t) < 100000000000000 THEN t // 1000 WHEN abs(t) < 100000000000000000 THEN t // 1000000 ELSE t // 1000000000 END AS s
+    SELECT DISTINCT soak_id, sample_id, fd_total, CASE WHEN abs(t) < 100000000000 THEN t WHEN abs(t) < 100000000000000 THEN t // 1000 WHEN abs(t) < 100000000000000000 THEN t // 1000000 ELSE t // 1000000000 END AS s
     FROM samples WHERE fd_total > 0 AND soak_id IS NOT NULL AND t IS NOT NULL) GROUP BY ALL
   UNION ALL SELECT soak_id, 'runs', (epoch_us(started_at) // 300000000) * 300, count(DISTINCT run_id) FROM runs WHERE soak_id IS NOT NULL AND started_at IS NOT NULL GROUP BY ALL),
 b AS (SELECT soak_id, series, min(slot) AS lo, max(slot) AS hi FROM o GROUP BY ALL),
@@ -147,6 +152,7 @@ ORACLE = {
         SELECT model_name, CAST(epoch(e) AS BIGINT) AS period_end_s, count(*) AS executions, CAST(coalesce(sum(rows_copied), 0) AS BIGINT) AS rows_copied, count(*) FILTER (WHERE late) AS late_executions, bool_or(frozen) AS frozen, bool_or(provisional) AS provisional
         FROM v WHERE model_name IS NOT NULL GROUP BY model_name, e""",
     "p2_found": _GRID + "SELECT g.soak_id, g.series, g.slot AS slot_start FROM g LEFT JOIN o USING (soak_id, series, slot) WHERE o.slot IS NULL",
+    "p2_observed": _GRID + "SELECT soak_id, series, slot AS slot_start, CAST(v AS DOUBLE) AS value FROM o",
     "p3_found": """
         WITH w AS (SELECT tenant, arg_max(metadata_watermark, (started_at, execution_id)) AS w FROM (SELECT * FROM models WHERE model_name = 'stg_orders' AND lower(trim(status)) = 'success') GROUP BY tenant),
         r AS (SELECT o.*, w.w IS NULL OR o._fivetran_synced > w.w AS new FROM raw_orders o LEFT JOIN w USING (tenant) WHERE o._fivetran_synced IS NOT NULL AND order_id IS NOT NULL AND tenant IS NOT NULL),
