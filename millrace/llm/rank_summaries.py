@@ -7,7 +7,8 @@ between neighbours; the bound on the rank error of any answer is read from the t
 distance), so what accumulates over merges is known and stated, not assumed.
 
 Hot groups are spread over ``shards`` by a hash of the record, so no task holds a group, and a merge holds at most 16
-summaries a level of at most 1 / (2 eps) + 2 tuples each. Streams of Arrow batches are cut anywhere; a group that goes on in the next batch is carried.
+summaries a level of at most 1 / (2 eps) + 2 tuples each. A shard is sorted by value and read in chunks of a fixed number of values:
+equal records give equal summaries, in whatever order they arrive and however Arrow cuts its batches.
 
 Defined results: NULL and negative values are left out (``least``), as are NULL groups and ids; a record delivered
 several times counts once (its least row); a NULL time is a day of its own; ties have an interval of ranks each and
@@ -121,22 +122,35 @@ def _lists(rows: list[tuple], arrow: pa.Schema = ARROW) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
 
-def _build_stream(eps: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _build_stream(eps: float, chunk: int = 8192) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Summaries of (group, day, shard) from rows sorted by value within them, built of every ``chunk`` values in turn.
+
+    The chunks follow the order of values, not Arrow's batches, so the result depends on the values alone.
+    """
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, tree = None, Tree(eps)
-        done = lambda: (key[1], key[2], (m := tree.result())[3], *m[:3])
+        key, tree, rest = None, Tree(eps), np.zeros(0)
+
+        def done() -> tuple:
+            if len(rest):
+                tree.add(build(rest, eps))
+            m = tree.result()
+            return key[1], key[2], m[3], *m[:3]
+
         for b in batches:
             out = []
-            g, d, x = b.column("grp").to_pylist(), b.column("day").to_pylist(), b.column("x").to_numpy()
-            code = b.column("code").to_numpy()  # changes with (group, day, shard)
+            x, code = b.column("x").to_numpy(), b.column("code").to_numpy()  # changes with (group, day, shard)
             cut = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else []
             for i, j in zip(cut, np.r_[cut[1:], len(code)].astype(int) if len(cut) else []):
-                k = (code[i], g[i], d[i])
+                k = (code[i], b.column("grp")[i].as_py(), b.column("day")[i].as_py())
                 if k != key:
                     if key is not None:
                         out.append(done())
-                    key, tree = k, Tree(eps)
-                tree.add(build(np.sort(x[i:j]), eps))
+                    key, tree, rest = k, Tree(eps), np.zeros(0)
+                rest = np.concatenate([rest, x[i:j]])
+                while len(rest) >= chunk:
+                    tree.add(build(rest[:chunk], eps))
+                    rest = rest[chunk:]
             if out:
                 yield _lists(out)
         if key is not None:
@@ -179,7 +193,7 @@ def _merge_stream(eps: float, by_day: bool) -> Callable[[Iterator[pa.RecordBatch
 class RankSummaries:
     """``eps`` is the rank error, as a share of n, that each level may add (building, then each level of merging).
 
-    Levels: one for building, up to one for each power of 16 in the number of Arrow batches of a shard, of shards of a day,
+    Levels: one for building, up to one for each power of 16 in the number of chunks of a shard, of shards of a day,
     and of days of a group. ``rank_error_bound`` is what has really accumulated.
     """
 
@@ -202,7 +216,7 @@ class RankSummaries:
         shards = self.shards or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
         rows = self._values(df).select("grp", "day", "x", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"))
         rows = rows.withColumn("code", F.xxhash64("grp", F.coalesce(F.col("day"), F.lit("0001-01-01").cast("date")), "shard"))
-        parts = rows.repartition("grp", "day", "shard").sortWithinPartitions("code", "grp", "day").select("grp", "day", "x", "code").mapInArrow(_build_stream(self.eps), SCHEMA)
+        parts = rows.repartition("grp", "day", "shard").sortWithinPartitions("code", "grp", "day", "x").select("grp", "day", "x", "code").mapInArrow(_build_stream(self.eps), SCHEMA)
         return self._merged(parts, ["grp", "day"])
 
     def merged(self, summaries: DataFrame) -> DataFrame:
@@ -210,8 +224,8 @@ class RankSummaries:
         return self._merged(summaries, ["grp"])
 
     def _merged(self, parts: DataFrame, keys: list[str]) -> DataFrame:
-        # sorted by day as well: equal input gives an equal result whatever the order of arrival
-        return parts.repartition(*keys).sortWithinPartitions("grp", "day", "n", F.col("v")[0]).mapInArrow(_merge_stream(self.eps, "day" in keys), SCHEMA)
+        # a total order: equal input gives an equal result whatever the order of arrival
+        return parts.repartition(*keys).sortWithinPartitions("grp", "day", "n", "v", "rmin", "rmax").mapInArrow(_merge_stream(self.eps, "day" in keys), SCHEMA)
 
     def percentiles(self, summaries: DataFrame, qs: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
         """(grp, day, n, p50, p90, p99, ..., rank_error, rank_error_bound) of each summary."""

@@ -72,6 +72,19 @@ def test_percentiles_and_combining_days(spark):
     assert r.percentiles(r.merged(r.daily(df.limit(0)))).count() == 0
 
 
+def test_summaries_do_not_depend_on_the_order_of_arrival(spark):
+    r, rng = rs.RankSummaries(eps=0.01, shards=2), np.random.default_rng(2)
+    x = rng.lognormal(6, 1, 60_000).astype(int)
+    rows = spark.createDataFrame([(i, "m", T0, int(v)) for i, v in enumerate(x)], "execution_id long, model_name string, started_at timestamp_ntz, duration_ms long")
+    a = r.daily(rows).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1777")
+    try:
+        b = r.daily(rows.orderBy(F.rand(3))).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert a == b and a[0]["n"] == 60_000
+
+
 # leaks
 def anchored(p, t, least, rate):
     """Whether a beginning of p is within its budget of a beginning of t, both ending with the same word."""
