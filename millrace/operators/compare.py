@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
 from ..types import widens
 
 
@@ -48,9 +49,10 @@ def null_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def chunk_of(key: str, lo: int, hi: int, k: int) -> Column:
-    """The chunk of a key in [lo, hi] cut into k ranges; the last takes what is left over."""
+    """The chunk of a key in [lo, hi] cut into k ranges; the last takes what is left over, keys below are -1, keys beyond k."""
     step = (hi - lo) // k
-    return F.lit(0).cast("bigint") if step <= 0 else F.least(F.floor((F.col(key) - lo) / F.lit(step)), F.lit(k - 1)).cast("bigint")
+    inside = F.lit(0) if step <= 0 else F.least(F.floor((F.col(key) - lo) / F.lit(step)), F.lit(k - 1))
+    return F.when(F.col(key) < lo, -1).when(F.col(key) > hi, k).when(F.col(key).isNotNull(), inside).cast("bigint")
 
 
 def split_range(lo: int, hi: int, k: int) -> list[tuple[int, int]]:
@@ -62,19 +64,40 @@ def split_range(lo: int, hi: int, k: int) -> list[tuple[int, int]]:
 
 
 def chunk_checksums(df: DataFrame, key: str, lo: int, hi: int, k: int = 32) -> DataFrame:
-    cols = [c for c in df.columns if c != key]
-    return df.filter(F.col(key).between(lo, hi)).groupBy(chunk_of(key, lo, hi, k).alias("chunk")).agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(row_hash([key, *cols])).alias("checksum"))
+    """(chunk, rows, checksum, hash_sum) over all rows with a key, wherever it lies."""
+    h = row_hash([key, *[c for c in df.columns if c != key]])
+    return df.filter(F.col(key).isNotNull()).groupBy(chunk_of(key, lo, hi, k).alias("chunk")).agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(h).alias("checksum"), F.sum(h.cast("decimal(38,0)")).alias("hash_sum"))
 
 
-def chunked_diff(a: DataFrame, b: DataFrame, key: str, lo: int, hi: int, k: int = 32) -> DataFrame:
-    """:func:`row_diff` of the chunks whose checksums differ; equal chunks are never joined."""
-    ca, cb = chunk_checksums(a, key, lo, hi, k), chunk_checksums(b, key, lo, hi, k).withColumnsRenamed({"rows": "r2", "checksum": "c2"})
-    bad = ca.join(cb, "chunk", "full_outer").filter(~F.col("rows").eqNullSafe(F.col("r2")) | ~F.col("checksum").eqNullSafe(F.col("c2"))).select(F.col("chunk").alias("__c"))
-    # at most k rows
-    pick = lambda d: d.filter(F.col(key).between(lo, hi)).join(F.broadcast(bad), chunk_of(key, lo, hi, k) == F.col("__c"), "left_semi")
+def key_bounds(a: DataFrame, b: DataFrame, key: str) -> tuple[int, int, int]:
+    """(least key, greatest key, rows) of both tables together."""
+    r = a.select(key).unionByName(b.select(key)).agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(key).alias("n")).first()
+    return r.lo or 0, r.hi or 0, r.n
+
+
+def chunked_diff(a: DataFrame, b: DataFrame, key: str, leaf_rows: int = 1000) -> DataFrame:
+    """:func:`row_diff` of the chunks whose checksums differ; equal chunks are never joined.
+
+    Bounds and number of chunks come from both tables, so that a chunk has about ``leaf_rows`` rows of either: what bisection
+    finds level by level, one grouped aggregation finds at once. How many chunks differ decides how they are joined (AQE).
+    """
+    lo, hi, n = key_bounds(a, b, key)
+    k = max(32, n // (2 * leaf_rows))
+    ca, cb = chunk_checksums(a, key, lo, hi, k), chunk_checksums(b, key, lo, hi, k)
+    same = F.struct("rows", "checksum", "hash_sum")
+    j = ca.select("chunk", same.alias("x")).join(cb.select("chunk", same.alias("y")), "chunk", "full_outer")
+    bad = materialize(j.filter(~F.col("x").eqNullSafe(F.col("y"))).select(F.col("chunk").alias("__c")), "chunks")
+    pick = lambda d: d.join(bad, chunk_of(key, lo, hi, k) == F.col("__c"), "left_semi")
     return row_diff(pick(a), pick(b), key)
 
 
+def samples(diff: DataFrame, key: str, n: int = 5) -> DataFrame:
+    """(change, rows, keys): how many rows changed in each way, and the first ``n`` keys of them."""
+    w = Window.partitionBy("change").orderBy(key)
+    top = diff.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= n).groupBy("change").agg(F.sort_array(F.collect_list(key)).alias("keys"))
+    return diff.groupBy("change").agg(F.count(F.lit(1)).alias("rows")).join(top, "change")
+
+
 def partition_checksums(df: DataFrame, partition: Column, cols: list[str] | None = None) -> DataFrame:
     """(part, rows, checksum): the order of rows does not matter; repeated rows do, as the sum goes beside the xor."""
     h = row_hash(cols or df.columns)
@@ -89,12 +112,12 @@ def changed_partitions(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def shared_partitions(tables: dict[str, DataFrame]) -> DataFrame:
-    """Partitions with equal content in several tables: (checksum, rows, tables)."""
+    """Partitions with equal content in several tables: (checksum, rows, hash_sum, tables, copies)."""
     out = None
     for n, d in tables.items():
         d = d.select("rows", "checksum", "hash_sum", F.lit(n).alias("t"))
         out = d if out is None else out.unionByName(d)
-    return out.groupBy("checksum", "rows", "hash_sum").agg(F.countDistinct("t").alias("tables")).filter("tables > 1")
+    return out.groupBy("checksum", "rows", "hash_sum").agg(F.countDistinct("t").alias("tables"), F.count(F.lit(1)).alias("copies")).filter("tables > 1")
 
 
 def schema_diff(a: T.StructType, b: T.StructType) -> list[str]:

@@ -25,15 +25,18 @@ def bootstrap(store: TableStore, table: str, df: DataFrame) -> DataFrame:
 
 
 def incremental(store: TableStore, table: str, source: DataFrame, stamp: str) -> DataFrame:
-    """Appends rows stamped strictly after the watermark; the watermark (the source's maximum) moves after the write."""
-    mark = store.get(f"watermark.{table}", EPOCH)
+    """Appends rows stamped strictly after the watermark, up to the greatest stamp there is when the run begins.
+
+    The watermark is part of the table's version: rows and watermark are there together or not at all, so a run that is
+    repeated after a crash neither skips nor repeats rows, and what lands while it runs is left to the next.
+    """
+    mark = ((store.version(table)[1] or {}).get("state") or {}).get("watermark", EPOCH)
     ts = F.col(stamp).cast("timestamp")
     new = source.filter(ts > F.lit(mark).cast("timestamp"))
     top = new.agg(F.date_format(F.max(ts), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
-    out = store.append(table, new)
-    if top is not None:
-        store.put(f"watermark.{table}", top)
-    return out
+    if top is None:
+        return store.read(table) if store.exists(table) else store.append(table, new)
+    return store.append(table, new.filter(ts <= F.lit(top).cast("timestamp")), {"watermark": top})
 
 
 def merged(target: DataFrame, source: DataFrame, keys: list[str], update: list[str] | None = None) -> DataFrame:
@@ -61,18 +64,33 @@ def delete_insert(store: TableStore, table: str, incoming: DataFrame, keys: list
     return store.replace(table, kept.unionByName(incoming))
 
 
-def time_interval(store: TableStore, table: str, model: Callable[[datetime, datetime], DataFrame], time_column: str, periods: list[tuple[datetime, datetime]], grain: str) -> DataFrame:
-    """Computes the model per half-open period and replaces those periods' partitions (key column ``period``)."""
-    if not periods:
+def time_interval(store: TableStore, table: str, model: Callable[[datetime, datetime], DataFrame], time_column: str, windows: list[tuple[datetime, datetime]], grain: str) -> DataFrame:
+    """Computes the model per half-open window and replaces all periods of the window (key column ``period``) at once.
+
+    The period comes from each row's time, so a window may span any number of periods; those without rows are emptied.
+    """
+    if not windows:
         raise ValueError("no period to build")
     out = None
-    for start, end in periods:
+    for start, end in windows:
         t = F.col(time_column).cast("timestamp")
-        df = model(start, end).filter((t >= F.lit(start)) & (t < F.lit(end))).withColumn("period", F.lit(period_key(start, grain)))
-        out = store.replace_partitions(table, df, "period", [period_key(start, grain)])
+        df = model(start, end).filter((t >= F.lit(start)) & (t < F.lit(end))).withColumn("period", F.date_format(t, _FORMATS[grain]))
+        touched = []
+        while start < end:
+            touched.append(period_key(start, grain))
+            start = step(start, grain)
+        out = store.replace_partitions(table, df, "period", touched)
     return out
 
 
+def time_interval_bootstrap(store: TableStore, table: str, model: Callable[[datetime, datetime], DataFrame], grain: str) -> DataFrame:
+    """The table of a time-interval model without rows: what depends on it can be built before its first period is."""
+    if store.exists(table):
+        return store.read(table)
+    t = parse_key({"hour": "1970-01-01T00", "day": "1970-01-01", "month": "1970-01", "year": "1970"}[grain], grain)
+    return store.replace(table, model(t, t).filter(F.lit(False)).withColumn("period", F.lit("")), ["period"])
+
+
 def surrogate_key(cols: list[str], null: str = "_dbt_utils_surrogate_key_null_") -> Column:
     """md5 of the columns' texts joined by '-', NULL having a text of its own."""
     return F.md5(F.concat_ws("-", *[F.coalesce(F.col(c).cast("string"), F.lit(null)) for c in cols]))
@@ -106,6 +124,10 @@ class Snapshot:
     check: tuple[str, ...] = ()
     hard_deletes: bool = False
 
+    def with_id(self, history: DataFrame) -> DataFrame:
+        """Adds ``snapshot_id``, a key of each version: md5 of its keys and the time it is valid from."""
+        return history.withColumn("snapshot_id", surrogate_key([*self.keys, "valid_from"]))
+
     def first(self, source: DataFrame, run_ts: str) -> DataFrame:
         return source.withColumns({"valid_from": self._from(run_ts), "valid_to": F.lit(None).cast("timestamp"), "is_current": F.lit(True)})
 
@@ -136,6 +158,7 @@ class Snapshot:
 
 
 # periods
+_FORMATS = {"hour": "yyyy-MM-dd'T'HH", "day": "yyyy-MM-dd", "month": "yyyy-MM", "year": "yyyy"}
 _KEYS = {"hour": "%Y-%m-%dT%H", "day": "%Y-%m-%d", "month": "%Y-%m", "year": "%Y"}
 
 

@@ -27,7 +27,10 @@ C.sql("agg_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM linei
 C.sql("agg_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 C.sql("agg_grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
 C.sql("agg_filter", "SELECT l_returnflag, count(*) FILTER (WHERE l_discount > 0.05) AS n FROM lineitem GROUP BY l_returnflag")
-C.sql("agg_mode", "SELECT status, count(*) AS n FROM raw_orders GROUP BY status HAVING count(*) = (SELECT max(k) FROM (SELECT count(*) AS k FROM raw_orders GROUP BY status))")
+C.sql("agg_mode", "SELECT tenant, mode() WITHIN GROUP (ORDER BY status) AS status FROM raw_orders GROUP BY tenant",
+      "SELECT tenant, status FROM (SELECT tenant, status, row_number() OVER (PARTITION BY tenant ORDER BY n DESC, status) AS i FROM (SELECT tenant, status, count(*) AS n FROM raw_orders WHERE status IS NOT NULL GROUP BY ALL)) WHERE i = 1")
+C.sql("agg_any_value", "SELECT n_regionkey, any_value(r_name) AS r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY n_regionkey")
+C.sql("agg_collect_set", "SELECT o_custkey, array_join(sort_array(collect_set(o_orderstatus)), ',') AS states FROM orders GROUP BY o_custkey", "SELECT o_custkey, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS states FROM orders GROUP BY o_custkey")
 
 
 @C.query()

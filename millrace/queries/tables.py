@@ -12,6 +12,7 @@ from ..operators import materialize as mat
 from ..plans.project import Model, Project
 from ..session import shared_dir, table
 from ..sources import files
+from ..sources.lakehouse import content_addressed
 from ..store import TableStore
 from ..streaming import stream
 from .base import Catalogue
@@ -78,24 +79,41 @@ def mat_time_interval(spark, d):
     return mat.time_interval(st, "t", model, "day", periods[1:], "month").withColumn("period", F.col("period").cast("string"))
 
 
-@C.query("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, count(*) AS n FROM events GROUP BY 1")
+def _rollup(e: DataFrame):
+    """A time-interval model: events per type within a window, by whatever period their time lies in."""
+    return lambda a, b: e.filter((F.col("ts") >= F.lit(a)) & (F.col("ts") < F.lit(b))).groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@C.query("SELECT g AS grain, CASE g WHEN 'hour' THEN strftime(ts, '%Y-%m-%dT%H') WHEN 'day' THEN strftime(ts, '%Y-%m-%d') WHEN 'month' THEN strftime(ts, '%Y-%m') ELSE strftime(ts, '%Y') END AS period, CAST(count(*) AS BIGINT) AS n FROM events, (VALUES ('hour'), ('day'), ('month'), ('year')) AS k(g) GROUP BY ALL")
 def time_grain_rollup(spark, d):
-    return table(spark, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    """One model built in every grain, a batch of periods at a time."""
+    st, e, out = TableStore(spark), table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), None
+    ends = {"hour": ("2023-12-31T00", "2024-02-01T23", 400), "day": ("2023-12-31", "2024-02-01", 20), "month": ("2023-12", "2024-02", 2), "year": ("2023", "2024", 1)}
+    for grain, (first, last, batch) in ends.items():
+        t = mat.time_interval(st, grain, _rollup(e), "hour", mat.plan_periods(grain, first=first, last=last, batch=batch), grain)
+        part = t.groupBy(F.lit(grain).alias("grain"), "period").agg(F.sum("n").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-@C.query("SELECT strftime(ts, '%Y-%m-%d') AS period, count(*) AS n FROM events GROUP BY 1")
+@C.query("SELECT strftime(ts, '%Y-%m-%d') AS period, event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events WHERE value < 50 OR ts >= TIMESTAMP '2024-01-26' GROUP BY ALL")
 def part_late_data(spark, d):
-    """Days built from what was there at first; the lookback of the second run picks the late rows up."""
-    st, e = TableStore(spark), table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    # values above the mean arrive late
-    early = e.join(table(spark, d, "events").filter("value < 50").select("event_id"), "event_id", "left_semi")
-    build = lambda src: lambda a, b: src.filter((F.col("ts") >= F.lit(a)) & (F.col("ts") < F.lit(b)))
-    days = mat.plan_periods("day", first="2024-01-01", last="2024-01-31", batch=31)
-    at = lambda src: src.withColumn("period", F.date_format("ts", "yyyy-MM-dd"))
-    for a, b in days:
-        st.replace_partitions("t", at(build(early)(a, b)), "period")
-        st.replace_partitions("t", at(build(e)(a, b)), "period")
-    return st.read("t").groupBy(F.col("period").cast("string").alias("period")).agg(F.count(F.lit(1)).alias("n"))
+    """Days are built without the rows that arrive late, in batches of ten; the run for the last day looks five days back and picks up
+    late rows there, but not before. It is run twice."""
+    st, e = TableStore(spark), table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    mat.time_interval(st, "t", _rollup(e.filter("value < 50")), "hour", mat.plan_periods("day", first="2023-12-31", last="2024-01-31", batch=10), "day")
+    again = mat.plan_periods("day", single="2024-01-31", lookback=5, batch=4)
+    mat.time_interval(st, "t", _rollup(e), "hour", again, "day")
+    return mat.time_interval(st, "t", _rollup(e), "hour", again, "day").withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+@C.query("SELECT 'day' AS kind, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-10' UNION ALL SELECT 'empty', 0")
+def time_interval_bootstrap(spark, d):
+    """A table without rows first; its first periods later."""
+    st, e = TableStore(spark), table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    empty = mat.time_interval_bootstrap(st, "t", _rollup(e), "day").agg(F.lit("empty").alias("kind"), F.count(F.lit(1)).alias("n"))
+    full = mat.time_interval(st, "t", _rollup(e), "hour", mat.plan_periods("day", first="2023-12-30", last="2024-01-09", batch=30), "day")
+    return full.agg(F.lit("day").alias("kind"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n")).unionByName(empty)
 
 
 @C.query(_WITH + "SELECT * FROM v1 WHERE seg NOT IN (SELECT seg FROM v2) UNION ALL SELECT * FROM v2")
@@ -119,8 +137,48 @@ def mat_ephemeral(spark, d):
 
 @C.query("SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1")
 def mat_view(spark, d):
-    table(spark, d, "customer").filter("c_acctbal > 0").createOrReplaceTempView("in_credit")
-    return spark.sql("SELECT c_mktsegment, count(*) AS n FROM in_credit GROUP BY c_mktsegment")
+    """A view is stored as its text; what reads it sees the sources as they are then."""
+    p = Project([
+        Model("in_credit", "SELECT * FROM src_customer WHERE c_acctbal > 0", strategy="view"),
+        Model("per_segment", "SELECT c_mktsegment, count(*) AS n FROM in_credit GROUP BY c_mktsegment"),
+    ], {"src_customer": table(spark, d, "customer")})
+    st = TableStore(spark)
+    p.run(spark, st)
+    return st.read("per_segment")
+
+
+@C.query(_WITH + "SELECT * FROM v1 EXCEPT SELECT * FROM v2")
+def mat_content_addressed(spark, d):
+    """Two versions of files named by their content; what the first had beyond the second."""
+    st = TableStore(spark)
+    content_addressed(st, "t", v1(spark, d))
+    first, _ = st.version("t")
+    content_addressed(st, "t", v1(spark, d).orderBy("n"))
+    assert st.version("t")[0] == first  # equal content makes no version
+    content_addressed(st, "t", v2(spark, d))
+    return st.read("t", first).subtract(st.read("t"))
+
+
+@C.query("SELECT event_id, event_type, value FROM events")
+def mat_transform_incremental(spark, d):
+    """An incremental model of a project, run three times while its source grows; every row comes once."""
+    e, st = table(spark, d, "events"), TableStore(spark)
+    for until in ("2024-01-12", "2024-01-20", "2030-01-01"):
+        p = Project([Model("inc", "SELECT event_id, event_type, value, ts FROM src_events", strategy="incremental", stamp="ts")], {"src_events": e.filter(F.col("ts") < F.lit(until))})
+        p.run(spark, st)
+        p.run(spark, st)
+    return st.read("inc").drop("ts")
+
+
+@C.query(_WITH + "SELECT * FROM v1")
+def mat_bootstrap(spark, d):
+    """Only a table that isn't there is bootstrapped."""
+    st = TableStore(spark)
+    mat.bootstrap(st, "t", v1(spark, d))
+    try:
+        mat.bootstrap(st, "t", v2(spark, d))
+    except ValueError:
+        return st.read("t")
 
 
 @C.query("SELECT row_id, md5(coalesce(CAST(order_id AS VARCHAR), '_dbt_utils_surrogate_key_null_') || '-' || coalesce(CAST(customer_id AS VARCHAR), '_dbt_utils_surrogate_key_null_') || '-' || coalesce(status, '_dbt_utils_surrogate_key_null_')) AS key FROM raw_orders")
@@ -191,7 +249,9 @@ C.add("diff_except", lambda spark, d: cmp.except_both(v1(spark, d), v2(spark, d)
 C.add("diff_except_all", lambda spark, d: cmp.except_both(v1(spark, d).select("seg"), v2(spark, d).select("seg"), True), _WITH + "SELECT *, 'left' AS _diff_side FROM (SELECT seg FROM v1 EXCEPT ALL SELECT seg FROM v2) UNION ALL SELECT *, 'right' FROM (SELECT seg FROM v2 EXCEPT ALL SELECT seg FROM v1)")
 _DIFF = _WITH + "SELECT k, CASE WHEN v1.n IS NULL THEN 'added' WHEN v2.n IS NULL THEN 'removed' ELSE 'changed' END AS change FROM v1 FULL JOIN v2 USING (k) WHERE v1.n IS NULL OR v2.n IS NULL OR (v1.n, v1.seg, v1.bal) IS DISTINCT FROM (v2.n, v2.seg, v2.bal)"
 C.add("bisect_row_diff", lambda spark, d: cmp.row_diff(v1(spark, d), v2(spark, d), "k"), _DIFF)
-C.add("bisect_chunked_diff", lambda spark, d: cmp.chunked_diff(v1(spark, d), v2(spark, d), "k", 0, 1_100_000_000), _DIFF)
+C.add("bisect_chunked_diff", lambda spark, d: cmp.chunked_diff(v1(spark, d), v2(spark, d), "k", 50), _DIFF)
+C.add("bisect_samples", lambda spark, d: cmp.samples(cmp.chunked_diff(v1(spark, d), v2(spark, d), "k"), "k").withColumn("keys", F.array_join(F.col("keys").cast("array<string>"), ",")),
+      _DIFF.replace(_WITH, _WITH.rstrip() + ", d AS (") + ") SELECT change, count(*) AS rows, array_to_string(list(k ORDER BY k)[1:5], ',') AS keys FROM d GROUP BY 1")
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -206,7 +266,10 @@ C.add("chunk_checksum", _chunks)
 C.add("part_checksum", lambda spark, d: cmp.partition_checksums(table(spark, d, "orders"), F.date_format("o_orderdate", "yyyy-MM")))
 C.add("part_checksum_diff", lambda spark, d: cmp.changed_partitions(cmp.partition_checksums(v1(spark, d), F.col("seg")), cmp.partition_checksums(v2(spark, d), F.col("seg"))),
       _WITH + ", a AS (SELECT seg, list(row(k, n, bal) ORDER BY k) AS l FROM v1 GROUP BY 1), b AS (SELECT seg, list(row(k, n, bal) ORDER BY k) AS l FROM v2 GROUP BY 1) SELECT seg AS part, CASE WHEN a.l IS NOT DISTINCT FROM b.l THEN 'unchanged' ELSE 'changed' END AS state FROM a FULL JOIN b USING (seg)")
-C.add("dedup_stats", lambda spark, d: cmp.shared_partitions({"a": cmp.partition_checksums(v1(spark, d), F.col("seg")), "b": cmp.partition_checksums(v1(spark, d), F.col("seg"))}))
+C.add("dedup_stats", lambda spark, d: cmp.shared_partitions({n: cmp.partition_checksums(f(spark, d).filter("seg <> 'SUPPLIER'"), F.col("seg")) for n, f in (("before", v1), ("after", v2), ("third", lambda s, x: v1(s, x).filter("seg <> 'MACHINERY'")))}).select("rows", "tables", "copies"),
+      _WITH + """, c AS (SELECT seg, 'before' AS t, list(row(k, n, bal) ORDER BY k) AS l FROM v1 GROUP BY seg UNION ALL SELECT seg, 'after', list(row(k, n, bal) ORDER BY k) FROM v2 WHERE seg <> 'SUPPLIER' GROUP BY seg
+        UNION ALL SELECT seg, 'third', list(row(k, n, bal) ORDER BY k) FROM v1 WHERE seg <> 'MACHINERY' GROUP BY seg)
+        SELECT CAST(len(l) AS BIGINT) AS rows, count(DISTINCT t) AS tables, count(*) AS copies FROM c GROUP BY l HAVING count(DISTINCT t) > 1""")
 C.add("cmp_null_keys", lambda spark, d: cmp.null_keys(table(spark, d, "raw_customers"), table(spark, d, "raw_orders"), "customer_id"), "SELECT count(*) AS null_keys, 'left' AS side FROM raw_customers WHERE customer_id IS NULL UNION ALL SELECT count(*), 'right' FROM raw_orders WHERE customer_id IS NULL")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,11 +43,30 @@ def content_hash(df: DataFrame) -> str:
     return hashlib.sha256(f"{json.dumps(df.schema.jsonValue(), sort_keys=True)}|{r[0]}|{r[1]}|{r[2]}".encode()).hexdigest()
 
 
-def content_addressed(store: TableStore, table: str, df: DataFrame, partition_by: list[str] | None = None) -> tuple[DataFrame, bool]:
-    """(table, whether it was written): a table with equal content is left as it is."""
-    h = content_hash(df)
-    if store.exists(table) and store.get(f"content.{table}") == h:
-        return store.read(table), False
-    out = store.replace(table, df, partition_by)
-    store.put(f"content.{table}", h)
-    return out, True
+def content_addressed(store: TableStore, table: str, df: DataFrame, buckets: int = 8) -> tuple[DataFrame, int]:
+    """(table, files written): a version made of files that are named by the hash of their content.
+
+    Rows are spread over ``buckets`` files by their hash and sorted, so equal rows give equal files; a file whose name is there
+    already is not kept twice, and versions share what they have in common. The version files are the table's log. Rows are
+    computed and written once; the hashes are read from the written files, in parallel.
+    """
+    spark = df.sparkSession
+    bucket = F.pmod(row_hash(df.columns), F.lit(buckets))
+    order = [F.col(f"`{c}`").cast("string") if isinstance(f.dataType, T.MapType) else F.col(f"`{c}`") for c, f in zip(df.columns, df.schema)]
+    staged = store._at(table, f"staged-{uuid.uuid4().hex}")
+    spread = df.withColumn("__b", bucket).repartition(buckets, "__b").sortWithinPartitions("__b", *order)
+    spread.write.partitionBy("__b").parquet(staged)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(staged).select("path", F.sha2("content", 256).alias("h")).collect()
+    names, new = [], 0
+    for r in sorted(found, key=lambda r: r.h):  # one row per file
+        to = store._path(store._at(table, "content", f"{r.h}.parquet"))
+        if not store._fs.exists(to):
+            store._fs.mkdirs(to.getParent())
+            store._fs.rename(store._path(r.path), to)
+            new += 1
+        names.append(f"content/{r.h}.parquet")
+    store._fs.delete(store._path(staged), True)
+    _, old = store.version(table)
+    if old and old["dirs"] == names and old["schema"] == df.schema.jsonValue():
+        return store.read(table), 0
+    return store.commit_files(table, df.schema, names), new

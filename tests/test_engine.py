@@ -58,7 +58,64 @@ def test_store_swaps_and_partitions(spark, tmp_path):
     st.append("p", spark.createDataFrame([("c", 3, 1)], "k string, x int, extra int"))
     assert st.exists("p") and not st.exists("q")
     st.put("a", {"b": 1})
-    assert st.get("a") == {"b": 1} and st.get("none", 5) == 5
+    st.put("a", 2)
+    assert st.get("a") == 2 and st.history("a") == [{"b": 1}, 2] and st.get("none", 5) == 5
+
+
+def test_versions_are_whole_or_not_there(spark, tmp_path):
+    root = tmp_path / "s"
+    st = TableStore(spark, str(root))
+    st.replace("t", spark.range(2))
+    n, _ = st.version("t")
+    (root / "t" / "_versions" / f"{n + 1:012d}.json").write_text('{"schema": {"ty')  # a writer died here
+    assert st.version("t")[0] == n and st.read("t").count() == 2
+    st.append("t", spark.range(5, 6))
+    assert rows(st.read("t")) == [(0,), (1,), (5,)] and rows(st.read("t", n)) == [(0,), (1,)]
+    from millrace.store import ConcurrentWrite
+
+    with pytest.raises(ConcurrentWrite):
+        st._commit(st._at("t", "_versions"), n, {})
+    st.replace("t", spark.range(1))
+    assert st.vacuum("t") == 2 and rows(st.read("t")) == [(0,)]
+    st.replace("e", spark.range(0).withColumn("k", F.lit("a")), ["k"])
+    assert st.read("e").count() == 0 and st.append("e", spark.range(1).withColumn("k", F.lit("x y/=z"))).count() == 1
+    assert st.replace_partitions("e", st.read("e").limit(0), "k", ["x y/=z"]).count() == 0
+
+
+def test_incremental_after_a_crash(spark, tmp_path, monkeypatch):
+    st = TableStore(spark, str(tmp_path / "s"))
+    src = spark.createDataFrame([(1, datetime(2024, 1, 1)), (2, datetime(2024, 1, 2))], "id int, ts timestamp")
+    with monkeypatch.context() as m:
+        m.setattr(TableStore, "_commit", lambda *a: (_ for _ in ()).throw(OSError("died")))
+        with pytest.raises(OSError):
+            mat.incremental(st, "t", src, "ts")
+    assert not st.exists("t")
+    for _ in range(2):
+        assert rows(mat.incremental(st, "t", src, "ts"), "id") == [(1,), (2,)]
+
+
+def test_time_interval_windows_of_several_periods(spark, tmp_path):
+    st = TableStore(spark, str(tmp_path / "s"))
+    src = spark.createDataFrame([(i, datetime(2024, 1, 1 + i % 3, i % 24)) for i in range(9)], "id int, ts timestamp")
+    build = lambda d: lambda a, b: d.filter((F.col("ts") >= F.lit(a)) & (F.col("ts") < F.lit(b)))
+    P = lambda **kw: mat.plan_periods("day", **kw)
+    mat.time_interval(st, "t", build(src), "ts", P(first="2024-01-01", last="2024-01-04", batch=3), "day")
+    mat.time_interval(st, "t", build(src), "ts", P(single="2024-01-02"), "day")
+    assert rows(st.read("t"), "id") == [(i,) for i in range(9)] and rows(st.read("t").select("period").distinct()) == [("2024-01-01",), ("2024-01-02",), ("2024-01-03",)]
+    # a period whose rows are gone is emptied
+    mat.time_interval(st, "t", build(src.filter("day(ts) <> 2")), "ts", P(first="2024-01-01", last="2024-01-03", batch=2), "day")
+    assert st.read("t").count() == 6
+
+
+def test_content_named_files(spark, tmp_path):
+    from millrace.sources.lakehouse import content_addressed
+
+    st = TableStore(spark, str(tmp_path / "s"))
+    df = spark.range(1000).withColumn("s", F.concat(F.lit("x"), F.col("id")))
+    a, n = content_addressed(st, "t", df)
+    assert n == 8 and a.count() == 1000 and content_addressed(st, "t", df.orderBy(F.rand()))[1] == 0
+    b, n = content_addressed(st, "t", df.withColumn("s", F.when(F.col("id") == 5, "y").otherwise(F.col("s"))))
+    assert 1 <= n <= 2 and b.filter("s = 'y'").count() == 1 and len(list((tmp_path / "s" / "t" / "content").glob("*.parquet"))) == 8 + n
 
 
 def test_incremental_takes_strictly_later(spark, tmp_path):
@@ -127,7 +184,9 @@ def test_compare(spark):
     a = spark.createDataFrame([(i, f"v{i}", i * 7) for i in range(2000)] + [(None, "n", 0)], "id int, s string, v int")
     b = a.filter("id is null or id <> 5").withColumn("s", F.when(F.col("id") == 1000, None).otherwise(F.col("s"))).unionByName(spark.createDataFrame([(5000, "x", 1)], a.schema))
     want = [(1000, "changed"), (5, "removed"), (5000, "added")]
-    assert rows(cmp.row_diff(a, b, "id")) == want == rows(cmp.chunked_diff(a, b, "id", 0, 6000))
+    assert rows(cmp.row_diff(a, b, "id")) == want == rows(cmp.chunked_diff(a, b, "id")) == rows(cmp.chunked_diff(a, b, "id", 10))
+    assert rows(cmp.samples(cmp.row_diff(a, b, "id"), "id")) == [("added", 1, [5000]), ("changed", 1, [1000]), ("removed", 1, [5])]
+    assert rows(a.select(cmp.chunk_of("id", 10, 20, 2).alias("c")).distinct()) == sorted([(-1,), (0,), (1,), (2,), (None,)], key=str)
     assert cmp.split_range(0, 10, 3) == [(0, 3), (3, 6), (6, 11)] and cmp.split_range(0, 1, 5) == [(0, 2)]
     x = spark.createDataFrame([("p", 1), ("p", 1), ("q", 2)], "k string, v int")
     y = spark.createDataFrame([("p", 1), ("q", 2), ("r", 3)], "k string, v int")
