@@ -14,6 +14,7 @@ class Catalogue:
     def __init__(self) -> None:
         self.QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
         self.ORACLE: dict[str, str] = {}
+        self.texts: list[str] = []
 
     def add(self, name: str, f: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
         assert name not in self.QUERIES, name
@@ -31,6 +32,7 @@ class Catalogue:
         return deco
 
     def dsl(self, name: str, text: str, sql: str) -> None:
+        self.texts.append(text)
         self.add(name, lambda spark, d: dsl.run(text, lambda t: table(spark, d, t)), sql)
 
     def sql(self, name: str, text: str, duck: str | None = None) -> None:

@@ -71,4 +71,4 @@ C.dsl("win_rows_frame", "from lineitem derive { m: max(l_quantity) over (partiti
 C.dsl("win_range_frame", "from lineitem derive { n: count() over (partition l_suppkey, sort l_quantity, range 5..5) } select { l_orderkey, l_linenumber, n }",
       "SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_suppkey ORDER BY l_quantity RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS n FROM lineitem")
 
-QUERIES, ORACLE = C.QUERIES, C.ORACLE
+QUERIES, ORACLE, TEXTS = C.QUERIES, C.ORACLE, C.texts

@@ -302,6 +302,14 @@ C.add("win_session", lambda spark, d: _ntz(stream.sessions(table(spark, d, "even
       "SELECT min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, user_id, count(*) AS n FROM (SELECT *, count(*) FILTER (WHERE p IS NULL OR ts >= p + INTERVAL 30 MINUTE) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)) GROUP BY user_id, s")
 
 
+@C.query("SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events) GROUP BY ALL")
+def stream_tumbling_late(spark, d):
+    """A stream that waits two hours for late rows: windows that have closed when the input ends."""
+    e = table(spark, d, "events")
+    as_ts = lambda s: s.withColumn("ts", F.col("ts").cast("timestamp"))
+    return _ntz(stream.microbatch(spark, d, e.schema, lambda s: stream.tumbling(as_ts(s), "ts", "1 hour", ["event_type"], _n(), "2 hours"), glob="events.parquet"))
+
+
 @C.query("SELECT c_mktsegment, count(*) AS customers, CAST(sum(orders) AS BIGINT) AS orders FROM (SELECT c_custkey, c_mktsegment, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2) GROUP BY 1")
 def project_run(spark, d):
     """A project of a SQL model, a pipeline and a mart, run in dependency order."""

@@ -61,12 +61,14 @@ def register(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -
 
 
 def shared_dir(spark: SparkSession, purpose: str = "work") -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a temporary one is set only where that is unset."""
+    """A fresh folder below ``spark.checkpoint.dir``; a temporary one is set only where that is unset, and only in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
         sc = spark.sparkContext
         root = sc.getCheckpointDir()
         if not root:
+            if not sc.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             root = tempfile.mkdtemp(prefix="millrace-")
             sc.setCheckpointDir(root)
     return f"{root.rstrip('/')}/millrace/{purpose}-{uuid.uuid4().hex}"

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import csv
 import re
 from pathlib import PurePath
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FORMATS = {".csv": "csv", ".tsv": "csv", ".parquet": "parquet", ".jsonl": "json", ".ndjson": "json", ".json": "json", ".orc": "orc"}
@@ -35,37 +35,30 @@ def load(spark: SparkSession, path: str, schema: T.StructType | str | None = Non
     return r.load(path)
 
 
-def infer_type(values: list[str]) -> T.DataType:
-    """The type of a seed's column: boolean, bigint, double, timestamp, else text; bigint and double widen to double."""
-    kinds = {k for v in values if v != "" for k in [_kind(v)]}
-    if not kinds:
-        return T.StringType()
-    if kinds == {"int", "float"}:
-        kinds = {"float"}
-    return {"bool": T.BooleanType(), "int": T.LongType(), "float": T.DoubleType(), "ts": T.TimestampType()}.get(kinds.pop(), T.StringType()) if len(kinds) == 1 else T.StringType()
+def seed(spark: SparkSession, path: str, types: dict[str, str] | None = None) -> DataFrame:
+    """A CSV or TSV file with types inferred from all of its rows; ``types`` overrides some, and a value that isn't of its type fails.
 
-
-def _kind(v: str) -> str:
-    if v.lower() in ("true", "false"):
-        return "bool"
-    if re.fullmatch(r"[+-]?\d{1,18}", v):
-        return "int"
-    if re.fullmatch(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", v):
-        return "float"
-    return "ts" if re.match(r"\d{4}-\d{2}-\d{2}", v) else "text"
-
-
-def seed(spark: SparkSession, path: str, types: dict[str, str] | None = None, rows: int = 1000) -> DataFrame:
-    """A small CSV or TSV file with types inferred from its first rows; ``types`` overrides some."""
+    The file is read by Spark, wherever it lies, once for the types and once for the rows.
+    """
     d = "\t" if path.endswith(".tsv") else ","
-    with open(path, newline="", encoding="utf-8") as f:
-        r = csv.reader(f, delimiter=d)
-        names = next(r)
-        head = [x for _, x in zip(range(rows), r)]
-    cols = list(zip(*head)) if head else [[] for _ in names]
+    text = load(spark, path, None, d)
     over = types or {}
-    schema = T.StructType([T.StructField(n, T.StructType.fromDDL(f"x {over[n]}")[0].dataType if n in over else infer_type(list(c))) for n, c in zip(names, cols)])
-    return load(spark, path, schema, d)
+    kinds = {"bool": r"(?i)true|false", "int": r"[+-]?\d{1,18}", "float": r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", "ts": r"\d{4}-\d{2}-\d{2}.*"}
+    cols = [c for c in text.columns if c not in over]
+    fits = [F.bool_and((F.col(f"`{c}`") == "") | F.col(f"`{c}`").rlike(f"^({p})$")).alias(f"{i}_{k}") for i, c in enumerate(cols) for k, p in kinds.items()]
+    seen = [F.count(F.when(F.col(f"`{c}`") != "", 1)).alias(f"{i}_n") for i, c in enumerate(cols)]
+    r = text.agg(*fits, *seen).first() if cols else {}
+
+    def kind(i: int) -> T.DataType:
+        if not r[f"{i}_n"]:
+            return T.StringType()
+        found = [t for k, t in (("bool", T.BooleanType()), ("int", T.LongType()), ("float", T.DoubleType()), ("ts", T.TimestampType())) if r[f"{i}_{k}"]]
+        return found[0] if found else T.StringType()
+
+    target = {c: T.StructType.fromDDL(f"x {over[c]}")[0].dataType if c in over else kind(cols.index(c)) for c in text.columns}
+    # an ANSI cast: what doesn't fit is an error, not a NULL
+    checked = [F.coalesce(F.col(f"`{c}`").try_cast(t), F.when(F.col(f"`{c}`") != "", F.raise_error(F.concat(F.lit(f"{c} is no {t.simpleString()}: "), F.col(f"`{c}`"))).cast(t))).alias(c) for c, t in target.items()]
+    return text.select(*checked)
 
 
 def write(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:

@@ -227,10 +227,12 @@ def test_project(spark, tmp_path):
     M = pj.Model
     p = pj.Project([M("stg_x", "SELECT id, g FROM src_x WHERE id > @var(least, 1)"), M("sum_x", "from stg_x group g { n: count() }", language="dsl"), M("bad", "SELECT nope FROM stg_x"), M("after_bad", "SELECT * FROM bad")], {"src_x": src})
     frames, problems = p.compile(spark)
-    assert set(frames) == {"stg_x", "sum_x"} and [x.split()[:2] for x in problems] == [["E001", "bad:"], ["E001", "after_bad:"]]
+    assert set(frames) == {"stg_x", "sum_x"} == set(p.frames(spark)) and [x.split()[:2] for x in problems] == [["E001", "bad:"], ["E001", "after_bad:"]]
     st = TableStore(spark, str(tmp_path / "store"))
     assert p.run(spark, st, skip_unchanged=True) == {"stg_x": "built", "bad": "failed", "sum_x": "built", "after_bad": "skipped"}
-    assert p.run(spark, st, skip_unchanged=True)["stg_x"] == "unchanged"
+    again = p.run(spark, st, skip_unchanged=True)
+    assert again["stg_x"] == "unchanged" and again.reasons["stg_x"] == "inputs unchanged" and "nope" in again.errors["bad"]
+    assert [r["states"]["bad"] for r in st.history("_runs")] == ["failed", "failed"]
     assert p.run(spark, st, {"least": "5"}, skip_unchanged=True)["stg_x"] == "built"
     assert pj.star_blast_radius(p) == ["P002 after_bad"]
     lin = pj.lineage(spark.sql("SELECT g, CAST(id AS STRING) AS c, id + g AS e FROM (SELECT id, g FROM {t})", t=src))
@@ -252,6 +254,11 @@ def test_files(spark, tmp_path):
     assert [t for _, t in df.dtypes] == ["bigint", "string", "boolean", "double", "timestamp", "string"]
     assert [r["name"] for r in df.collect()] == ["a,b", 'say "hi"']
     assert files.seed(spark, str(f), {"id": "string"}).dtypes[0] == ("id", "string")
+    g = tmp_path / "late.csv"
+    g.write_text("n,m\n" + "1,1\n" * 3000 + "x,2.5\n")
+    assert [t for _, t in files.seed(spark, str(g)).dtypes] == ["string", "double"] and files.seed(spark, str(g)).count() == 3001
+    with pytest.raises(Exception, match="n is no bigint: x"):
+        files.seed(spark, str(g), {"n": "bigint"}).collect()
     with pytest.raises(ValueError):
         files.load(spark, "../x.csv")
     with pytest.raises(ValueError):
