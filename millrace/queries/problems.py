@@ -88,6 +88,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return Spikes().flags(table(spark, d, "models")).select(F.col("id").alias("execution_id"), "reading")
 
 
+def p5_impossible(spark: SparkSession, d: str) -> DataFrame:
+    """The readings beyond the physical bound among the flags."""
+    return Spikes().flags(table(spark, d, "models")).filter("reason = 'impossible'").select(F.col("id").alias("execution_id"), "reading", F.col("value").cast("long").alias("value"))
+
+
 def _stamp(c: str) -> F.Column:
     return F.date_format(F.timestamp_micros(c), "yyyy-MM-dd HH:mm:ss")
 
@@ -110,7 +115,7 @@ def p6_as_of(spark: SparkSession, d: str) -> DataFrame:
     return h.as_of(*h.build(table(spark, d, "raw_customers")), _epoch(P6_MOMENT) * 1_000_000).withColumnRenamed("e", "customer_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_period_view, p1_served_view, p2_found, p2_grid, p2_observed, p3_found, p3_sink, p3_next_run, p5_found, p6_found, p6_versions, p6_as_of)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_period_view, p1_served_view, p2_found, p2_grid, p2_observed, p3_found, p3_sink, p3_next_run, p5_found, p5_impossible, p6_found, p6_versions, p6_as_of)}
 
 # keys by their digits; without a key the bounds
 _PERIODS = """
@@ -159,6 +164,7 @@ ORACLE = {
         n AS (SELECT *, row_number() OVER (PARTITION BY order_id, new ORDER BY _fivetran_synced DESC, row_id DESC) AS i FROM r)
         SELECT a.order_id FROM n a LEFT JOIN n b ON a.order_id = b.order_id AND b.i = 1 AND NOT b.new
         WHERE a.new AND a.i = 1 AND (b.order_id IS NULL OR (a.customer_id, a.order_date, a.status, a.total_amount) IS DISTINCT FROM (b.customer_id, b.order_date, b.status, b.total_amount))""",
+    "p5_impossible": "SELECT DISTINCT execution_id, reading, value FROM (SELECT execution_id, model_name, 'duration_ms' AS reading, duration_ms AS value FROM models UNION ALL SELECT execution_id, model_name, 'rows_copied', rows_copied FROM models) WHERE value < 0 AND execution_id IS NOT NULL AND model_name IS NOT NULL",
     "p6_found": _P6 + f"SELECT c AS customer_id, {_P6_TIMES} FROM v WHERE NOT gone",
     "p6_versions": _P6 + f"SELECT c AS customer_id, t AS tier, {_P6_TIMES} FROM v WHERE NOT gone",
     "p6_as_of": _P6 + f", l AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY ts DESC) AS i FROM s WHERE ts <= TIMESTAMP '{P6_MOMENT}') SELECT c AS customer_id, t AS tier, m AS email FROM l WHERE i = 1 AND NOT gone",
