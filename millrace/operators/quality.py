@@ -226,8 +226,13 @@ def health(z: list[float]) -> float:
 
 
 # profiles
-def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column_name, rows, nulls, distinct_values, min_text, max_text, mean, std): one aggregation."""
+def profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
+    """(column_name, rows, nulls, distinct_values, min_text, max_text, mean, std): one aggregation.
+
+    Exact distinct counts shuffle every distinct value of every column; without ``exact`` they come from sketches (2 % error), which
+    combine before the shuffle: the choice for wide tables of many rows.
+    """
+    distinct = F.countDistinct if exact else lambda x: F.approx_count_distinct(x, 0.02)
     cols = columns or df.columns
     kinds = dict(df.dtypes)
     aggs: list[Column] = [F.count(F.lit(1)).alias("rows")]
@@ -235,7 +240,7 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         x = F.col(f"`{c}`")
         num = kinds[c].startswith(("int", "bigint", "double", "float", "decimal", "smallint", "tinyint"))
         v = x.cast("double") if num else F.lit(None).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.countDistinct(x).alias(f"d{i}"), F.min(x.cast("string")).alias(f"a{i}"), F.max(x.cast("string")).alias(f"z{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}")]
+        aggs += [F.count(x).alias(f"n{i}"), distinct(x).alias(f"d{i}"), F.min(x.cast("string")).alias(f"a{i}"), F.max(x.cast("string")).alias(f"z{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}")]
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), (F.col("rows") - F.col(f"n{i}")).alias("nulls"), F.col(f"d{i}").alias("distinct_values"), F.col(f"a{i}").alias("min_text"), F.col(f"z{i}").alias("max_text"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std")) for i, c in enumerate(cols)])).alias("x")
     return df.agg(*aggs).select("rows", each).select("x.column_name", "rows", "x.nulls", "x.distinct_values", "x.min_text", "x.max_text", "x.mean", "x.std")
 

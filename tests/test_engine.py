@@ -180,6 +180,12 @@ def test_masks_anomalies_contracts(spark):
     assert q.contract(s, [C("a", T.LongType()), C("b", T.IntegerType()), C("d"), C("A", nullable=False)], ("e",), T.StructType.fromDDL("e int"), True) == ["E011 b: string is not int", "E010 d", "E012 A", "E013 e", "W010 c"]
 
 
+def test_profile_from_sketches(spark):
+    df = spark.range(5000).withColumn("g", F.col("id") % 7)
+    a, b = ({r["column_name"]: r for r in q.profile(df, exact=e).collect()} for e in (True, False))
+    assert a["id"]["distinct_values"] == 5000 and abs(b["id"]["distinct_values"] - 5000) < 400 and a["g"] == b["g"]
+
+
 def test_compare(spark):
     a = spark.createDataFrame([(i, f"v{i}", i * 7) for i in range(2000)] + [(None, "n", 0)], "id int, s string, v int")
     b = a.filter("id is null or id <> 5").withColumn("s", F.when(F.col("id") == 1000, None).otherwise(F.col("s"))).unionByName(spark.createDataFrame([(5000, "x", 1)], a.schema))
